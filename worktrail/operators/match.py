@@ -25,10 +25,8 @@ def ascii_lower(c: Column) -> Column:
 
 
 def _grams(c: Column, n: int) -> Column:
-    """Distinct pieces of ``n`` characters."""
-    starts = F.sequence(F.lit(1), F.length(c) - (n - 1))
-    pieces = F.transform(starts, lambda i: F.substr(c, i, F.lit(n)))
-    return F.when(F.length(c) >= n, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+    """Distinct pieces of ``n`` characters, taken in one pass by a look-ahead at every position."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def like_contains(text: Column, term: Column) -> Column:
@@ -146,9 +144,8 @@ def parse_window_name(df: DataFrame, col: str, aliases: DataFrame) -> DataFrame:
     quoted = F.concat(F.lit(r"\Q"), F.col("__best.form"), F.lit(r"\E"))
     leading = F.concat(F.lit("(?is)^"), quoted, F.lit(rf"\s*{DELIMITERS}\s*(.+)$"))
     trailing = F.concat(F.lit(rf"(?is)^(.+?)\s*{DELIMITERS}\s*"), quoted, F.lit("$"))
-    title = F.when(F.rlike(trimmed, leading), strip(F.regexp_extract(trimmed, leading, 1))).when(
-        F.rlike(trimmed, trailing), strip(F.regexp_extract(trimmed, trailing, 1))
-    )
+    group = lambda pattern: strip(F.call_function("regexp_extract", trimmed, pattern, F.lit(1)))
+    title = F.when(F.rlike(trimmed, leading), group(leading)).when(F.rlike(trimmed, trailing), group(trailing))
     parsed = best.select(
         F.col("__name"), F.col("__best.canonical").alias("app"), F.when(title != "", title).alias("title")
     )

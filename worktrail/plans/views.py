@@ -127,7 +127,7 @@ def threads(spark: SparkSession, sf: str) -> DataFrame:
 
 _CTE = {
     "ev": r"""ev AS (
-  SELECT event_id, ts, epoch_ms(ts) AS ts_ms, user_id, event_type, value,
+  SELECT event_id, ts, epoch_us(ts) // 1000 AS ts_ms, user_id, event_type, value,
          CAST(regexp_extract(props, '(\d+)', 1) AS BIGINT) AS k
   FROM events)""",
     "nodes": """nodes AS (
@@ -163,10 +163,10 @@ _CTE = {
               WHEN o_orderstatus = 'F' THEN 'succeeded'
               ELSE CASE WHEN o_orderkey % 4 = 0 THEN 'failed_permanent' ELSE 'failed' END END AS status,
          o_orderkey % 3 AS attempts,
-         CASE WHEN o_orderkey % 2 = 0 THEN epoch_ms(o_orderdate) + (o_orderkey % 7) * 86400000 END AS next_run_at,
+         CASE WHEN o_orderkey % 2 = 0 THEN epoch_us(o_orderdate) // 1000 + (o_orderkey % 7) * 86400000 END AS next_run_at,
          CASE WHEN o_orderkey % 6 = 0 THEN 'pending' ELSE 'succeeded' END AS upstream_status,
          CASE WHEN o_orderkey % 9 <> 0 THEN o_orderpriority END AS payload,
-         o_orderdate AS ts, epoch_ms(o_orderdate) AS ts_ms
+         o_orderdate AS ts, epoch_us(o_orderdate) // 1000 AS ts_ms
   FROM orders)""",
     "links": "links AS (SELECT l_orderkey AS node_id, l_partkey AS screenshot_id FROM lineitem)",
     "threads": """threads AS (
