@@ -11,6 +11,7 @@ from worktrail.functions.text import marker_title
 from worktrail.operators.aggregates import ordered_list, vector_dims
 from worktrail.operators.blocks import HOUR_MS, time_block, top_n
 from worktrail.operators.filters import capture_allowed, eligible
+from worktrail.operators.ranking import gap_sessions
 from worktrail.operators.sequential import changes_only
 
 # Fixed values.
@@ -101,14 +102,16 @@ def reopen_windows(summaries: DataFrame, nodes: DataFrame, now_ms: int, width_ms
     )
 
 
-def sessions(df: DataFrame, key: str, ts: str = "ts", gap: str = "10 minutes") -> DataFrame:
-    """Activity sessions per key: start, last row and row count; a step of exactly the gap stays inside."""
-    return (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key, F.session_window(ts, gap).alias("w"))
-        .agg(F.min(F.unix_millis(ts)).alias("start_ms"), F.max(F.unix_millis(ts)).alias("last_ms"), F.count("*").alias("n"))
-        .drop("w")
+def sessions(df: DataFrame, key: str, gap_ms: int = 10 * 60_000, block_ms: int = HOUR_MS) -> DataFrame:
+    """Activity sessions per key: start, last row and row count; a step of exactly the gap stays inside.
+
+    Rows get their session number block by block; a session window would sort a whole key in one task.
+    """
+    numbered = gap_sessions(df.select(key, "id", "ts_ms"), key, gap_ms, block_ms)
+    spans = numbered.groupBy(key, "session").agg(
+        F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("last_ms"), F.count("*").alias("n")
     )
+    return spans.drop("session")
 
 
 def needs_refresh(threads: DataFrame, last_state: DataFrame, forced: DataFrame | None = None) -> DataFrame:

@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktrail.functions.normalize import cap
-from worktrail.functions.text import cut, ellipsis, keyword_terms, tokens
+from worktrail.functions.text import ellipsis, keyword_terms, tokens
 from worktrail.operators.aggregates import result_summary
-from worktrail.operators.blocks import DAY_MS, HOUR_MS, top_n
+from worktrail.operators.blocks import HOUR_MS, top_n
 from worktrail.operators.filters import entity_match, keyword_hits, prefer_kind
 from worktrail.operators.joins import _timeline, band_join, evidence, nearest_k, nodes_for_hits, nodes_for_vectors
 from worktrail.operators.ranking import app_boost, order_evidence, rank_results, select_for_answer
 from worktrail.operators.sets import merge_entities
 from worktrail.operators.vectors import knn_exact
+from worktrail.session import cut
 
 # Fixed values.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -139,13 +140,15 @@ def fuse(time: DataFrame, keyword: DataFrame, semantic: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "id").agg(F.min("score").alias("score"))
 
 
-def _ready(cands: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """Candidates that pass the query's filters, with the columns ranking needs."""
+def _ready(cands: DataFrame, nodes: DataFrame, queries: DataFrame, matched: DataFrame) -> DataFrame:
+    """Candidates that pass the query's filters, with the columns ranking needs.
+
+    ``matched(id, query_id, entity_boost)`` are the nodes that match an entity of the query.
+    """
     q = queries.select(
         "query_id", F.col("thread_id").alias("q_thread"), "from_ms", "to_ms", F.col("entities").alias("q_entities"),
         F.col("app_hint").alias("q_app"), "kind_hint",
     )
-    matched = entity_match(nodes, queries).withColumn("entity_boost", F.lit(1))
     rows = cands.join(nodes, "id").join(q, "query_id").join(matched, ["id", "query_id"], "left")
     rows = rows.withColumn("entity_boost", F.coalesce("entity_boost", F.lit(0)))
     wants = F.exists(F.coalesce("q_entities", F.array().cast("array<string>")), lambda e: F.trim(e) != "")
@@ -206,13 +209,15 @@ def rank_search(
     keyword = keyword_search(queries, nodes, links, docs, cols)
     matches = knn_exact(queries.filter("embedding IS NOT NULL"), vector_docs, k)
     semantic = nodes_for_vectors(matches, vector_docs, nodes.select("id"))
-    fused = fuse(time, keyword, semantic)
-    first = rank_results(_ready(fused, nodes, queries))
+    matched = cut(entity_match(nodes, queries).withColumn("entity_boost", F.lit(1)))
+    # candidates are few next to the nodes; both rankings and the neighbours start from them
+    fused = cut(fuse(time, keyword, semantic))
+    first = cut(rank_results(_ready(fused, nodes, queries, matched)).filter(F.col("rn") <= EXPAND_TOP))
     near = expand_neighbors(first, nodes, queries).withColumn("score", F.lit(None).cast("double"))
     merged = fused.unionByName(near.select("query_id", "id", "score")).groupBy("query_id", "id").agg(
         F.min("score").alias("score")
     )
-    return rank_results(_ready(merged, nodes, queries))
+    return rank_results(_ready(merged, nodes, queries, matched))
 
 
 def search(

@@ -149,12 +149,12 @@ def i7(spark, sf):
 
 @query(
     "i8_sessions",
-    v.more("nodes") + """d AS (SELECT thread_id, id, ts, ts_ms, ts - lag(ts) OVER (PARTITION BY thread_id ORDER BY ts, id) AS d FROM nodes WHERE thread_id IS NOT NULL),
-s AS (SELECT *, sum(CASE WHEN d IS NULL OR d > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY thread_id ORDER BY ts, id) AS session FROM d)
+    v.more("nodes") + """d AS (SELECT thread_id, id, ts_ms, ts_ms - lag(ts_ms) OVER (PARTITION BY thread_id ORDER BY ts_ms, id) AS d FROM nodes WHERE thread_id IS NOT NULL),
+s AS (SELECT *, sum(CASE WHEN d IS NULL OR d > 21600000 THEN 1 ELSE 0 END) OVER (PARTITION BY thread_id ORDER BY ts_ms, id) AS session FROM d)
 SELECT thread_id, min(ts_ms) AS start_ms, max(ts_ms) AS last_ms, count(*) AS n FROM s GROUP BY thread_id, session""",
 )
 def i8(spark, sf):
-    return lifecycle.sessions(v.nodes(spark, sf), "thread_id", gap="6 hours")
+    return lifecycle.sessions(v.nodes(spark, sf), "thread_id", 6 * HOUR, DAY_MS)
 
 
 OUTCOME = "CASE WHEN id % 5 < 4 THEN id % 3 = 0 END"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job here relies on; anything about size is left to the cluster.
 REQUIRED = {
@@ -48,3 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="worktrail-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, read back from the checkpoint folder: later steps neither recompute nor re-plan them."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
