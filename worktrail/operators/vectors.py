@@ -85,10 +85,11 @@ def _cells(queries: DataFrame, vectors: DataFrame, on: list[str], k: int) -> Dat
     """Best ``k`` per query inside each cell, for frames that already carry the cell columns."""
 
     def cell(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(q["query_id"].to_numpy(), _matrix(q["embedding"]), v["vector_id"].to_numpy(), _matrix(v["embedding"]), k)
+        return _nearest(q["query_id"].to_numpy(), _matrix(q["qe"]), v["vector_id"].to_numpy(), _matrix(v["ve"]), k)
 
-    left = queries.select(*on, "query_id", "embedding").groupBy(*on)
-    return left.cogroup(vectors.select(*on, "vector_id", "embedding").groupBy(*on)).applyInPandas(cell, _FOUND)
+    left = queries.select(*on, "query_id", F.col("embedding").alias("qe")).groupBy(*on)
+    right = vectors.select(*on, "vector_id", F.col("embedding").alias("ve")).groupBy(*on)
+    return left.cogroup(right).applyInPandas(cell, _FOUND)
 
 
 def _knn_grid(queries: DataFrame, vectors: DataFrame, k: int, n_q: int, n_v: int, cell_q: int, cell_v: int) -> DataFrame:
@@ -146,7 +147,9 @@ def knn_lsh(
         dim = vectors.agg(F.max(F.size("embedding")).alias("d")).first()["d"]
     buckets = _bucket_udf(dim, tables, hashes, width, seed)
     hashed = lambda df: df.withColumn("__b", buckets("embedding")).select("*", F.posexplode("__b").alias("t", "b")).drop("__b")
-    q, v = hashed(queries.select("query_id", "embedding")), hashed(vectors.select("vector_id", "embedding"))
+    # fresh column identities, so that a table may be searched for its own rows
+    own_names = lambda df, i: df.select(F.col(i).alias(i), F.col("embedding").alias("embedding"))
+    q, v = hashed(own_names(queries, "query_id")), hashed(own_names(vectors, "vector_id"))
     parts = lambda df, size, name: df.groupBy("t", "b").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
     sizes = parts(q, cell_queries, "g").join(parts(v, cell_vectors, "h"), ["t", "b"])
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
