@@ -229,8 +229,9 @@ def like(body, term):
     return re.search(pattern, body, re.S) is not None
 
 
+@pytest.mark.parametrize("bound", [1 << 20, 0])
 @pytest.mark.parametrize("wild", [True, False])
-def test_substring_join(spark, wild):
+def test_substring_join(spark, wild, bound):
     rnd = random.Random(1)
     letters = "ab%_é微\\ \n"
     texts = [(i, "".join(rnd.choice("abé微\\ \n") for _ in range(rnd.randrange(0, 40)))) for i in range(60)]
@@ -238,7 +239,7 @@ def test_substring_join(spark, wild):
     terms = [(n, t) for n, t in enumerate(sorted(terms))]
     t1 = spark.createDataFrame(texts, "tid long, body string")
     t2 = spark.createDataFrame(terms, "qid long, term string")
-    got = rows(match.substring_join(t1, "tid", "body", t2, "qid", "term", wildcards=wild), "tid", "qid")
+    got = rows(match.substring_join(t1, "tid", "body", t2, "qid", "term", wildcards=wild, max_broadcast=bound), "tid", "qid")
     hit = like if wild else (lambda b, t: t in b)
     assert got == sorted((i, q) for i, b in texts for q, t in terms if hit(b, t))
 

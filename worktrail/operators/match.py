@@ -8,12 +8,14 @@ on either side and no cut on candidates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktrail.functions.text import strip
 
 GRAM = 3
+# Bound on the terms sent to every task, in characters.
+BROADCAST_CHARS = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # What may stand between app name and title in a window name.
 DELIMITERS = "[-–—|｜:·•]"
@@ -37,45 +39,48 @@ def like_contains(text: Column, term: Column) -> Column:
 
 
 def substring_join(
-    texts: DataFrame, text_id: str, text: str, terms: DataFrame, term_id: str, term: str, wildcards: bool = False
+    texts: DataFrame, text_id: str, text: str, terms: DataFrame, term_id: str, term: str, wildcards: bool = False,
+    max_broadcast: int = BROADCAST_CHARS,
 ) -> DataFrame:
     """Pairs ``(text_id, term_id)`` where the text contains the term (both sides already case-folded).
 
-    Terms must be non-empty and ``term_id`` unique.
+    Terms must be non-empty and ``term_id`` unique.  Terms of at most ``max_broadcast`` characters
+    in all are sent to every task and the texts are only scanned; more terms than that meet the
+    texts' pieces in a shuffle, and the candidates fetch their text by id.
     """
-    pieces = F.split(F.col(term), "[%_]") if wildcards else F.array(F.col(term))
-    longest = F.reduce(pieces, F.lit(""), lambda a, s: F.when(F.length(s) > F.length(a), s).otherwise(a))
-    sized = terms.select(term_id, term, longest.alias("__seg")).withColumn(
-        "__g", F.least(F.lit(GRAM), F.length("__seg"))
-    )
-    sizes = sorted(r[0] for r in sized.select("__g").distinct().collect())  # at most GRAM + 1 values
-
-    def by_size(c: Column) -> Column:
-        out = F.array(F.lit("")) if 0 in sizes else F.array().cast("array<string>")
-        for n in [s for s in sizes if s > 0]:
-            out = F.concat(out, _grams(c, n))
-        return out
-
-    def of_term() -> Column:
+    literal = F.split(F.col(term), "[%_]") if wildcards else F.array(F.col(term))
+    longest = F.reduce(literal, F.lit(""), lambda a, s: F.when(F.length(s) > F.length(a), s).otherwise(a))
+    sized = terms.select(term_id, term, longest.alias("__seg")).withColumn("__g", F.least(F.lit(GRAM), F.length("__seg")))
+    # one small row: which piece lengths occur (at most GRAM + 1), and how much text the terms are
+    facts = sized.agg(F.collect_set("__g").alias("sizes"), F.coalesce(F.sum(F.length(term)), F.lit(0)).alias("chars")).first()
+    sizes, small = sorted(facts["sizes"]), facts["chars"] <= max_broadcast
+    share = F.broadcast if small else (lambda df: df)
+
+    def pieces(c: Column) -> Column:
+        parts = ([F.array(F.lit(""))] if 0 in sizes else []) + [_grams(c, n) for n in sizes if n > 0]
+        return F.concat(*parts) if parts else F.array().cast("array<string>")
+
+    def own_pieces() -> Column:
         out = F.when(F.col("__g") == 0, F.array(F.lit("")))
         for n in range(1, GRAM + 1):
             out = out.when(F.col("__g") == n, _grams(F.col("__seg"), n))
         return out
 
-    term_grams = sized.select(term_id, F.explode(of_term()).alias("__gram"))
-    text_grams = texts.select(text_id, F.explode(by_size(F.col(text))).alias("__gram"))
-    needed = text_grams.join(term_grams.select("__gram").distinct(), "__gram", "left_semi")
+    term_grams = sized.select(term_id, F.explode(own_pieces()).alias("__gram"))
+    text_grams = texts.select(text_id, text, F.explode(pieces(F.col(text))).alias("__gram"))
+    needed = text_grams.select("__gram").join(share(term_grams.select("__gram").distinct()), "__gram", "left_semi")
     frequency = needed.groupBy("__gram").agg(F.count("*").alias("__df"))
-    rarest = Window.partitionBy(term_id).orderBy("__df", "__gram")
-    chosen = (
+    rarest = (
         term_grams.join(frequency, "__gram")
-        .withColumn("__rn", F.row_number().over(rarest))
-        .filter("__rn = 1")
-        .select("__gram", term_id)
-        .join(sized.select(term_id, term), term_id)
+        .groupBy(term_id)
+        .agg(F.min(F.struct("__df", "__gram")).alias("__best"))
+        .select(F.col(term_id), F.col("__best.__gram").alias("__gram"))
     )
-    candidates = text_grams.join(chosen, "__gram").select(text_id, term_id, term)
+    chosen = rarest.join(sized.select(term_id, term), term_id)
     hit = like_contains(F.col(text), F.col(term)) if wildcards else F.contains(F.col(text), F.col(term))
+    if small:
+        return text_grams.join(F.broadcast(chosen), "__gram").filter(hit).select(text_id, term_id)
+    candidates = text_grams.select(text_id, "__gram").join(chosen, "__gram").select(text_id, term_id, term)
     return candidates.join(texts.select(text_id, text), text_id).filter(hit).select(text_id, term_id)
 
 

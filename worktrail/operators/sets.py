@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from worktrail.functions.keys import origin_key, thread_id_of
 from worktrail.functions.text import tokens
-from worktrail.operators.aggregates import key_entities, main_project, thread_apps, thread_rollup
+from worktrail.operators.aggregates import key_entities, main_project, recent_nodes, thread_apps, thread_rollup
+from worktrail.session import cut
 
 
 def merge_first(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -177,7 +178,7 @@ def apply_assignments(
     sizes = nodes.join(assignments.select("batch_id").distinct(), "batch_id", "left_semi").groupBy("batch_id").agg(
         F.count("*").alias("node_count")
     )
-    violations = assignment_violations(assignments, listed, sizes)
+    violations = cut(assignment_violations(assignments, listed, sizes))
     bad = violations.select("batch_id")
     ok = lambda df: df.join(bad, "batch_id", "left_anti")
 
@@ -188,7 +189,7 @@ def apply_assignments(
         "thread_id", F.coalesce("__known", thread_id_of(F.col("origin_key")))
     )
     new_ids = keyed.select("batch_id", F.explode("node_indices").alias("node_index"), F.col("thread_id").alias("__new"))
-    mapped = (
+    mapped = cut(
         ok(assignments)
         .join(new_ids, ["batch_id", "node_index"], "left")
         .select(
@@ -220,12 +221,14 @@ def apply_assignments(
         "milestones", F.when(F.col("__added").isNull(), F.col("milestones")).otherwise(F.concat("milestones", added))
     )
     touched = affected_threads(mapped.withColumnRenamed("new_thread_id", "thread_id"), ok(updates))
-    of_touched = next_nodes.join(touched, "thread_id", "left_semi")
+    of_touched = next_nodes.join(cut(touched), "thread_id", "left_semi")
+    # apps, project and entities look at the newest nodes only: at most fifty rows per thread
+    newest = cut(recent_nodes(of_touched.select("thread_id", "id", "ts_ms", "app_hint", "project_key", "names")).drop("recency"))
     stats = (
         thread_rollup(of_touched)
-        .join(thread_apps(of_touched), "thread_id", "left")
-        .join(main_project(of_touched), "thread_id", "left")
-        .join(key_entities(of_touched), "thread_id", "left")
+        .join(thread_apps(newest), "thread_id", "left")
+        .join(main_project(newest), "thread_id", "left")
+        .join(key_entities(newest), "thread_id", "left")
         .withColumn("__touched", F.lit(True))
     )
     kept = patched.select(*created.columns)

@@ -103,15 +103,15 @@ def c5(spark, sf):
 
 
 def keyword_queries(spark, sf):
-    """Five query words per label row, some with wildcards."""
-    i = F.col("doc_id")
+    """A query word per benchmark row, some with wildcards."""
+    i = F.col("item_id")
     term = F.when(i % 4 == 0, F.concat(F.lit("k_"), (i % 17).cast("string"))).when(i % 4 == 1, F.lit("CLICK")).when(
         i % 4 == 2, F.concat(F.lit("r%"), (i % 10).cast("string"))).otherwise(F.concat(F.lit("iew "), (i % 10).cast("string")))
-    return v.table(spark, sf, "labels").select(i.alias("query_id"), term.alias("term"))
+    return v.table(spark, sf, "benchmark").select(i.alias("query_id"), term.alias("term"))
 
 
-KWQ_SQL = """kq AS (SELECT doc_id AS query_id, translate(CASE doc_id % 4 WHEN 0 THEN 'k_' || (doc_id % 17) WHEN 1 THEN 'CLICK'
- WHEN 2 THEN 'r%' || (doc_id % 10) ELSE 'iew ' || (doc_id % 10) END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM labels),
+KWQ_SQL = """kq AS (SELECT item_id AS query_id, translate(CASE item_id % 4 WHEN 0 THEN 'k_' || (item_id % 17) WHEN 1 THEN 'CLICK'
+ WHEN 2 THEN 'r%' || (item_id % 10) ELSE 'iew ' || (item_id % 10) END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM benchmark),
 t AS (SELECT DISTINCT term FROM kq),
 kh AS (SELECT DISTINCT id, term, ts_ms FROM nodes, t WHERE title LIKE '%' || term || '%' OR array_to_string(keywords, ' ') LIKE '%' || term || '%')
 """

@@ -10,11 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrail.session import prepare
+from worktrail.session import prepare, spread
+
+# Tables whose rows are long texts: the work per row outweighs dealing the rows out.
+TEXTS = {"documents", "pages"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf}/{name}.parquet")
+    df = prepare(spark).read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:

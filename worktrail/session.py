@@ -54,3 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, read back from the checkpoint folder: later steps neither recompute nor re-plan them."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer files than cores, dealt out to all cores before heavy work per row.
+
+    A table of many files is returned as it is: its scan is parallel already.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
