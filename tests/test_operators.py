@@ -90,6 +90,17 @@ def test_running_and_lag_over_blocks(hot, events):
     assert {r["id"]: (r["p1"], r["p3"]) for r in lag.collect()} == want_lag
 
 
+def test_busy_blocks_are_cut_in_order(hot, events):
+    even = blocks.even_blocks(hot, "ts_ms", 3_600_000, max_rows=60)
+    assert even.busy
+    df = hot.withColumn("b", blocks.time_block("ts_ms", even))
+    largest = df.groupBy("b").count().agg(F.max("count")).first()[0]
+    assert largest < hot.groupBy(blocks.time_block("ts_ms", 3_600_000)).count().agg(F.max("count")).first()[0]
+    run = blocks.running(df, [], ["ts_ms", "id"], "b", {"n": ("sum", F.lit(1).cast("long"))})
+    order = sorted(events, key=lambda r: (r[2], r[0]))
+    assert {r["id"]: r["n"] for r in run.collect()} == {r[0]: i + 1 for i, r in enumerate(order)}
+
+
 def test_top_n_beyond_the_group_limit(hot, events):
     got = blocks.top_n(hot, ["key"], [F.col("ts_ms").desc(), F.col("id").desc()], 1500)
     want = []

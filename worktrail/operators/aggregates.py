@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from worktrail.functions.keys import health_level
 from worktrail.functions.normalize import real_app_hint
 from worktrail.functions.text import strip
-from worktrail.operators.blocks import HOUR_MS, lag_in_blocks, time_block, top_n
+from worktrail.operators.blocks import HOUR_MS, running, time_block, top_n
 
 # Fixed values.
 GAP_MS = 10 * 60_000
@@ -267,18 +267,23 @@ def vector_dims(vectors: DataFrame, expected: int | None = None) -> DataFrame:
     return counts.withColumn("mismatch", F.col("dim") != (usual if expected is None else F.lit(expected)))
 
 
-def latency_percentiles(df: DataFrame, ts_ms: str, value: str, width_ms: int, ps: Sequence[float] = (0.5, 0.95)) -> DataFrame:
-    """Exact percentiles (nearest rank) per interval, from counts of distinct values."""
+def latency_percentiles(
+    df: DataFrame, ts_ms: str, value: str, width_ms: int, ps: Sequence[float] = (0.5, 0.95), bin_width: float = 1.0
+) -> DataFrame:
+    """Exact percentiles (nearest rank) per interval, from counts of distinct values.
+
+    The running count of an interval is taken bin by bin of the value, so an interval with very
+    many values is not ordered in one task.
+    """
     start = (time_block(ts_ms, width_ms) * width_ms).alias("window_start")
     counts = df.filter(F.col(value).isNotNull()).groupBy(start, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("window_start").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("cum", F.sum("n").over(upto)).withColumn(
-        "total", F.sum("n").over(Window.partitionBy("window_start"))
-    )
+    counts = counts.withColumn("__block", F.floor(F.col("v") / bin_width).cast("long"))
+    ranked = running(counts, ["window_start"], ["v"], "__block", {"cum": ("sum", F.col("n"))})
+    totals = counts.groupBy("window_start").agg(F.sum("n").alias("total"))
     cells = [
         F.min(F.when(F.col("cum") >= F.ceil(F.col("total") * F.lit(p)), F.col("v"))).alias(f"p{round(p * 100)}") for p in ps
     ]
-    return ranked.groupBy("window_start").agg(F.max("total").alias("n"), *cells)
+    return ranked.join(totals, "window_start").groupBy("window_start").agg(F.max("total").alias("n"), *cells)
 
 
 def merge_events(events: DataFrame, min_ms: int = LONG_EVENT_MS) -> DataFrame:

@@ -6,12 +6,14 @@ timeline into *blocks* (normally fixed spans of time), run the window inside a
 ``(key, block)`` group, and pass what must cross a block border through a summary
 with one row per ``(key, block)``.  Only that summary is ever ordered per key, so
 the largest ordered group is the number of blocks in the time span, whatever the
-number of rows.  Everything is built-in expressions; results are exact.
+number of rows.  A timeline with bursts passes ``even_blocks``, which bounds the rows of a
+block.  Everything is built-in expressions; results are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,10 +30,35 @@ def ms(ts: str | Column) -> Column:
     return F.unix_millis(F.col(ts) if isinstance(ts, str) else ts)
 
 
-def time_block(ts_ms: str | Column, width_ms: int) -> Column:
-    """Number of the fixed-width span that holds an epoch-millisecond value."""
+@dataclass(frozen=True)
+class Blocks:
+    """Spans of ``width_ms``; each span in ``busy`` is cut into ``parts`` equal pieces."""
+
+    width_ms: int
+    busy: tuple[int, ...] = ()
+    parts: int = 1000
+
+
+def even_blocks(df: DataFrame, ts_ms: str, width_ms: int, max_rows: int = 2_000_000) -> Blocks:
+    """Blocks for a timeline with bursts: spans with more than ``max_rows`` rows are cut further.
+
+    The list of such spans has at most ``rows / max_rows`` entries.
+    """
+    counts = df.groupBy(time_block(ts_ms, width_ms).alias("b")).agg(F.count("*").alias("n"))
+    busy = counts.filter((F.col("n") > max_rows) & F.col("b").isNotNull()).select("b").collect()
+    return Blocks(width_ms, tuple(sorted(r["b"] for r in busy)))
+
+
+def time_block(ts_ms: str | Column, width: int | Blocks) -> Column:
+    """Number of the span that holds an epoch-millisecond value; numbers grow with time."""
     c = F.col(ts_ms) if isinstance(ts_ms, str) else ts_ms
-    return F.floor(c / F.lit(width_ms)).cast("long")
+    if isinstance(width, int):
+        return F.floor(c / F.lit(width)).cast("long")
+    span = F.floor(c / F.lit(width.width_ms)).cast("long")
+    if not width.busy:
+        return span
+    piece = F.floor((c - span * width.width_ms) * width.parts / width.width_ms).cast("long")
+    return span * width.parts + F.when(span.isin(list(width.busy)), piece).otherwise(0)
 
 
 def carry_rows(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worktrail.operators.blocks import DAY_MS, HOUR_MS, running, time_block, top_n
+from worktrail.operators.blocks import DAY_MS, HOUR_MS, even_blocks, running, time_block, top_n
 from worktrail.operators.filters import drop_system_windows, flag_self
 
 # Fixed values.
@@ -77,7 +77,7 @@ def overlapped_windows(windows: DataFrame, events: DataFrame, block_ms: int = DA
             "window_start",
         )
     )
-    marks = marks.withColumn("__block", time_block("at", block_ms))
+    marks = marks.withColumn("__block", time_block("at", even_blocks(marks, "at", block_ms)))
     swept = running(marks, [], ["at", "side"], "__block", {"reached": ("max", F.col("reach"))})
     flags = swept.filter("side = 0").select(
         "window_start", F.col("at").alias("window_end"),
@@ -102,7 +102,9 @@ def _timeline(nodes: DataFrame, markers: DataFrame, keys: list[str], block_ms: i
     rows = nodes.select(*keys, "ts_ms", F.lit(0).alias("side"), "id", no_id.alias("pivot_id")).unionByName(
         markers.select(*keys, "ts_ms", "side", no_id.alias("id"), F.col("pivot_id").cast("long").alias("pivot_id"))
     )
-    rows = rows.withColumn("__block", time_block("ts_ms", block_ms))
+    # without a key nothing else spreads a busy hour
+    width = block_ms if keys else even_blocks(nodes, "ts_ms", block_ms)
+    rows = rows.withColumn("__block", time_block("ts_ms", width))
     one = F.when(F.col("side") == 0, 1).otherwise(0).cast("long")
     return running(rows, keys, ["ts_ms", "side", "id"], "__block", {"n": ("sum", one)})
 

@@ -9,6 +9,7 @@ from worktrail.operators.search import build_index, fts_match
 from worktrail.plans import views as v
 from worktrail.plans.queries_functions import ALIASES_SQL, PARTS_SQL, aliases, named_parts
 from worktrail.plans.registry import query
+from worktrail.session import spread
 
 NOW = 1_705_363_200_000
 LO, HI = 1_704_153_600_000, 1_705_363_200_000
@@ -118,7 +119,7 @@ kh AS (SELECT DISTINCT id, term, ts_ms FROM nodes, t WHERE title LIKE '%' || ter
 
 
 def keyword_nodes(spark, sf):
-    return v.nodes(spark, sf).withColumn("kw", F.array_join("keywords", " "))
+    return spread(v.nodes(spark, sf)).withColumn("kw", F.array_join("keywords", " "))
 
 
 @query(

@@ -9,6 +9,7 @@ from worktrail.plans import views as v
 from worktrail.plans.queries_filters import INDEX_SQL, documents, fts_queries, wanted
 from worktrail.plans.queries_ranking import RANK_SQL, ranked
 from worktrail.plans.registry import query
+from worktrail.session import spread
 from worktrail.sources import ingest, tables
 
 START = 1_704_067_200_000
@@ -189,7 +190,7 @@ def search_queries(spark, sf):
 
 
 def search_inputs(spark, sf):
-    n = v.nodes(spark, sf).withColumn("kw", F.array_join("keywords", " "))
+    n = spread(v.nodes(spark, sf)).withColumn("kw", F.array_join("keywords", " "))
     docs = vector_rows(spark, sf).withColumn("ref_id", F.col("vector_id") * 3)
     return search_queries(spark, sf), n, v.links(spark, sf), documents(spark, sf), docs
 
