@@ -18,7 +18,7 @@ from worktrail.operators.sequential import changes_only
 MAX_ATTEMPTS, RETRY_MS, STALE_MS = 2, 60_000, 5 * 60_000
 IDLE_MS = 4 * HOUR_MS
 WINDOW_MS = 20 * 60_000
-WINDOWS_PER_RUN = 10
+SOURCE_TTL_MS = 60_000
 REFRESH_NODES, REFRESH_MS = 50, 10 * 60_000
 MARKER_NODES, MARKER_SCORE = 200, 6
 
@@ -114,6 +114,13 @@ def sessions(df: DataFrame, key: str, gap_ms: int = 10 * 60_000, block_ms: int =
     return spans.drop("session")
 
 
+def evict_idle(captures: DataFrame, now_ms: int, ttl_ms: int = SOURCE_TTL_MS, block_ms: int = HOUR_MS) -> DataFrame:
+    """When a source's buffer was dropped: each time it was not seen for longer than ``ttl_ms``."""
+    spans = sessions(captures, "source_key", ttl_ms, block_ms)
+    gone = spans.filter(F.col("last_ms") < now_ms - ttl_ms)
+    return gone.select("source_key", F.col("last_ms").alias("last_seen_ms"), F.col("n").alias("captures"))
+
+
 def needs_refresh(threads: DataFrame, last_state: DataFrame, forced: DataFrame | None = None) -> DataFrame:
     """Threads to describe anew: 50 nodes and ten active minutes more than last time, or forced.
 

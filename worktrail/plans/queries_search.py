@@ -10,7 +10,7 @@ from worktrail.plans.queries_filters import INDEX_SQL, documents, fts_queries, w
 from worktrail.plans.queries_ranking import RANK_SQL, ranked
 from worktrail.plans.registry import query
 from worktrail.session import spread
-from worktrail.sources import ingest, tables
+from worktrail.sources import ingest
 
 START = 1_704_067_200_000
 
@@ -330,3 +330,15 @@ def a5(spark, sf):
     rows = ingest.explode_model_nodes(replies, members)
     clean = rows.select("batch_id", "node_index", "screenshot_id", *ingest.normalize_reply_node(F.col("n")))
     return clean.select("batch_id", "node_index", "screenshot_id", "title", "app_hint", "importance", F.col("action_items")[0]["priority"].alias("priority"))
+
+
+@query(
+    "a8_scan_manifest",
+    v.more("captures") + """m AS (SELECT CASE WHEN id % 9 = 0 THEN 'thumb-' ELSE 'capture-' END || ts_ms || CASE id % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.jpeg' WHEN 2 THEN '.webp' ELSE '.txt' END AS name FROM captures)
+SELECT name FROM m WHERE regexp_matches(name, '^capture-.*\\.(jpeg|png|webp)$')""",
+)
+def a8(spark, sf):
+    i = F.col("id")
+    ext = F.when(i % 4 == 0, ".png").when(i % 4 == 1, ".jpeg").when(i % 4 == 2, ".webp").otherwise(".txt")
+    name = F.concat(F.when(i % 9 == 0, "thumb-").otherwise("capture-"), F.col("ts_ms").cast("string"), ext)
+    return ingest.capture_files(v.captures(spark, sf).select(name.alias("name")))

@@ -423,3 +423,14 @@ def i22(spark, sf):
     )
     out = lifecycle.upsert_markers(old, t, n, NOW)
     return out.select("event_key", "title", "kind", "end_ms", join_ids("node_ids").alias("node_ids"), "details_text", "details_status")
+
+
+@query(
+    "i23_evict_idle",
+    v.more("captures") + """d AS (SELECT source_key, id, ts_ms, ts_ms - lag(ts_ms) OVER (PARTITION BY source_key ORDER BY ts_ms, id) AS d FROM captures),
+s AS (SELECT *, sum(CASE WHEN d IS NULL OR d > 21600000 THEN 1 ELSE 0 END) OVER (PARTITION BY source_key ORDER BY ts_ms, id) AS session FROM d),
+g AS (SELECT source_key, max(ts_ms) AS last_seen_ms, count(*) AS captures FROM s GROUP BY source_key, session)
+SELECT * FROM g WHERE last_seen_ms < 1706600000000 - 21600000""",
+)
+def i23(spark, sf):
+    return lifecycle.evict_idle(v.captures(spark, sf), 1_706_600_000_000, 6 * HOUR, DAY_MS)

@@ -122,6 +122,11 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return parse_logs(spark.read.text(path))
 
 
+def capture_files(listing: DataFrame) -> DataFrame:
+    """Capture files of a listing, by the form of their ``name``."""
+    return listing.filter(F.col("name").rlike(CAPTURE_FILE))
+
+
 def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Names, sizes and times of capture files, newest name first; file contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -129,4 +134,4 @@ def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
         F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length",
         F.unix_millis("modificationTime").alias("mtime_ms"),
     )
-    return rows.filter(F.col("name").rlike(CAPTURE_FILE)).orderBy(F.col("name").desc())
+    return capture_files(rows).orderBy(F.col("name").desc())
