@@ -353,6 +353,22 @@ def test_answer_pool_loses_nothing(spark):
     assert isinstance(whole, pd.DataFrame)
 
 
+@pytest.mark.parametrize("min_rows", [10, 2_000, 10**6])
+def test_trailing_failure_rate(hot, events, min_rows):
+    df = hot.withColumn("status", F.when(F.col("fp") % 3 == 0, "failed").otherwise("succeeded"))
+    out = ranking.trailing_failure_rate(df, "key", 20, 600_000, min_rows).collect()
+    got = {r["id"]: (r["window_rows"], round(r["failure_rate"], 9), r["failure_run"], r["success_run"]) for r in out}
+    want = {}
+    for group in by_key(events).values():
+        bad = [int(r[3] % 3 == 0) for r in group]
+        run = 0
+        for n, r in enumerate(group):
+            run = run + 1 if n and bad[n] == bad[n - 1] else 1
+            frame = bad[max(0, n - 19) : n + 1]
+            want[r[0]] = (len(frame), round(sum(frame) / len(frame), 9), run if bad[n] else 0, 0 if bad[n] else run)
+    assert got == want
+
+
 def test_failure_bursts(spark):
     df = spark.createDataFrame([(i, "a", t) for i, t in enumerate([0, 5000, 10_000, 12_000, 40_000, 41_000, 50_000, 51_001])], "id long, k string, ts_ms long")
     got = rows(ranking.failure_bursts(df, "k"), "ts_ms", "failures", "tripped")

@@ -61,6 +61,18 @@ def time_block(ts_ms: str | Column, width: int | Blocks) -> Column:
     return span * width.parts + F.when(span.isin(list(width.busy)), piece).otherwise(0)
 
 
+def busy_keys(df: DataFrame, key: str, min_rows: int = 1_000_000, most: int = 10_000) -> list:
+    """Keys with more than ``min_rows`` rows and more than one ``most``-th of all: at most ``most`` of them."""
+    limit = max(min_rows, df.count() // most)
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    return [r[key] for r in counts.filter(F.col("n") > limit).collect()]
+
+
+def busy_block(key: str, busy: list, ts_ms: str | Column, width: int | Blocks) -> Column:
+    """Time blocks for the busy keys; every other key is one block, which needs no carried rows."""
+    return F.when(F.col(key).isin(busy), time_block(ts_ms, width)).otherwise(0) if busy else F.lit(0).cast("long")
+
+
 def carry_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], block: str, payload: Sequence[str], n: int
 ) -> DataFrame:

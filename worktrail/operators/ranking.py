@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worktrail.operators.blocks import (
-    CARRY, DAY_MS, HOUR_MS, lag_in_blocks, running, time_block, top_n, with_carry,
+    CARRY, DAY_MS, HOUR_MS, busy_block, busy_keys, lag_in_blocks, running, time_block, top_n, with_carry,
 )
 from worktrail.operators.filters import drop_system_windows
 
@@ -183,14 +183,16 @@ def failure_bursts(df: DataFrame, key: str, width_ms: int = BURST_MS, n: int = B
     return flagged.filter("__at = __bin").select(key, "id", "ts_ms", "failures", "tripped")
 
 
-def trailing_failure_rate(df: DataFrame, key: str, n: int = RATE_WINDOW, block_ms: int = HOUR_MS) -> DataFrame:
+def trailing_failure_rate(
+    df: DataFrame, key: str, n: int = RATE_WINDOW, block_ms: int = HOUR_MS, min_rows: int = 1_000_000
+) -> DataFrame:
     """Failure share of the last ``n`` rows per key, and the length of the run the row ends.
 
-    The frame reaches into earlier blocks through carried rows; run lengths come from the
+    Keys of more than ``min_rows`` rows are cut into blocks of time; the frame reaches into earlier blocks through carried rows; run lengths come from the
     running row number and the number at which the run began.
     """
     rows = df.select(key, "id", "ts_ms", F.when(F.col("status") == "failed", 1).otherwise(0).alias("bad"))
-    rows = rows.withColumn("__block", time_block("ts_ms", block_ms))
+    rows = rows.withColumn("__block", busy_block(key, busy_keys(df, key, min_rows), "ts_ms", block_ms))
     order = ["ts_ms", "id"]
     carried = with_carry(rows, [key], order, "__block", ["bad"], n - 1)
     w = Window.partitionBy(key, "__block").orderBy(*order)

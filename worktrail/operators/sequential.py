@@ -55,15 +55,16 @@ def batch_step(size: int, timeout_ms: int):
     """Close a batch at ``size`` rows; a row ``timeout_ms`` or more after the first starts a new one."""
 
     def step(cols, state):
+        opened, head, n = state or (0, None, 0)
         first = []
         for t, i in zip(cols["ts_ms"], cols["id"]):
-            if state is None or t - state[0] >= timeout_ms:
-                state = (t, i, 0)
-            state = (state[0], state[1], state[2] + 1)
-            first.append(state[1])
-            if state[2] >= size:
-                state = None
-        return {"first_id": first}, state
+            if n == 0 or t - opened >= timeout_ms:
+                opened, head, n = t, i, 0
+            n += 1
+            first.append(head)
+            if n == size:
+                n = 0
+        return {"first_id": first}, ((opened, head, n) if n else None)
 
     return step
 

@@ -194,7 +194,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY capability, island ORDER BY ts_m
 SELECT capability, id, window_rows, round(rate, 9) AS failure_rate, CASE WHEN bad = 1 THEN run ELSE 0 END AS failure_run, CASE WHEN bad = 0 THEN run ELSE 0 END AS success_run FROM n""",
 )
 def f14(spark, sf):
-    out = ranking.trailing_failure_rate(v.usage(spark, sf), "capability")
+    out = ranking.trailing_failure_rate(v.usage(spark, sf), "capability", min_rows=3_000)
     return out.drop("ts_ms").withColumn("failure_rate", F.round("failure_rate", 9))
 
 
