@@ -178,10 +178,13 @@ def expand_neighbors(ranked: DataFrame, nodes: DataFrame, queries: DataFrame, to
     return a.unionByName(b).distinct()
 
 
-def keyword_search(queries: DataFrame, nodes: DataFrame, links: DataFrame, docs: DataFrame, cols: list[str]) -> DataFrame:
+def keyword_search(
+    queries: DataFrame, nodes: DataFrame, links: DataFrame, index: tuple[DataFrame, DataFrame], cols: list[str]
+) -> DataFrame:
     """Keyword candidates ``(query_id, id)``: newest direct hits, and nodes of the best full-text hits.
 
-    ``docs(doc_id, text)`` are the captures' texts; ``links(node_id, screenshot_id)``.
+    ``index`` is what ``build_index`` gave for the captures' texts, normally two stored tables;
+    ``links(node_id, screenshot_id)``.
     """
     terms = queries.select("query_id", F.explode(keyword_terms("text", F.col("entities"))).alias("term"))
     direct = keyword_hits(nodes, "id", cols, terms).join(nodes.select("id", "ts_ms", "thread_id"), "id")
@@ -190,14 +193,14 @@ def keyword_search(queries: DataFrame, nodes: DataFrame, links: DataFrame, docs:
         (F.col("from_ms").isNull() | F.col("ts_ms").between(F.col("from_ms"), F.col("to_ms")))
         & (F.col("q_thread").isNull() | F.col("thread_id").eqNullSafe(F.col("q_thread")))
     )
-    postings, lengths = build_index(docs)
-    hits = bm25_top(bm25(postings, lengths, queries)).select("query_id", F.col("doc_id").alias("screenshot_id"))
+    hits = bm25_top(bm25(*index, queries)).select("query_id", F.col("doc_id").alias("screenshot_id"))
     text = nodes_for_hits(hits, links, nodes.select("id")).select("query_id", "id")
     return keyword_top(direct).select("query_id", "id").unionByName(text).distinct()
 
 
 def rank_search(
-    queries: DataFrame, nodes: DataFrame, links: DataFrame, docs: DataFrame, vector_docs: DataFrame, cols: list[str], k: int = 20
+    queries: DataFrame, nodes: DataFrame, links: DataFrame, index: tuple[DataFrame, DataFrame], vector_docs: DataFrame,
+    cols: list[str], k: int = 20,
 ) -> DataFrame:
     """Ranked results per query: candidates, filters, ranking, neighbours of the best, ranking again.
 
@@ -206,7 +209,7 @@ def rank_search(
     ``vector_docs(vector_id, ref_id, embedding)``.
     """
     time = time_recall(nodes, queries)
-    keyword = keyword_search(queries, nodes, links, docs, cols)
+    keyword = keyword_search(queries, nodes, links, index, cols)
     matches = knn_exact(queries.filter("embedding IS NOT NULL"), vector_docs, k)
     semantic = nodes_for_vectors(matches, vector_docs, nodes.select("id"))
     matched = cut(entity_match(nodes, queries).withColumn("entity_boost", F.lit(1)))
@@ -221,11 +224,11 @@ def rank_search(
 
 
 def search(
-    queries: DataFrame, nodes: DataFrame, links: DataFrame, captures: DataFrame, docs: DataFrame, vector_docs: DataFrame,
-    cols: list[str],
+    queries: DataFrame, nodes: DataFrame, links: DataFrame, captures: DataFrame, index: tuple[DataFrame, DataFrame],
+    vector_docs: DataFrame, cols: list[str],
 ) -> dict[str, DataFrame]:
     """The whole search: ranked results, results to show, evidence and the rows to answer from."""
-    ranked = rank_search(queries, nodes, links, docs, vector_docs, cols)
+    ranked = cut(rank_search(queries, nodes, links, index, vector_docs, cols))
     return {
         "ranked": ranked,
         "shown": prefer_kind(ranked),

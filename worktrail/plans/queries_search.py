@@ -9,7 +9,7 @@ from worktrail.plans import views as v
 from worktrail.plans.queries_filters import INDEX_SQL, documents, fts_queries, wanted
 from worktrail.plans.queries_ranking import RANK_SQL, ranked
 from worktrail.plans.registry import query
-from worktrail.session import spread
+from worktrail.session import cut, spread
 from worktrail.sources import ingest
 
 START = 1_704_067_200_000
@@ -190,9 +190,10 @@ def search_queries(spark, sf):
 
 
 def search_inputs(spark, sf):
-    n = spread(v.nodes(spark, sf)).withColumn("kw", F.array_join("keywords", " "))
+    n = cut(spread(v.nodes(spark, sf)).withColumn("kw", F.array_join("keywords", " ")))
+    index = tuple(cut(part) for part in search.build_index(documents(spark, sf)))
     docs = vector_rows(spark, sf).withColumn("ref_id", F.col("vector_id") * 3)
-    return search_queries(spark, sf), n, v.links(spark, sf), documents(spark, sf), docs
+    return cut(search_queries(spark, sf)), n, v.links(spark, sf), index, docs
 
 
 SEARCH_SQL = v.more("nodes", "links") + BM25_SQL.rstrip() + """,
@@ -232,8 +233,8 @@ def _ready_sql(cand: str, out: str) -> str:
     + _ready_sql("mrg", "final") + "\nSELECT query_id, id, rn FROM final",
 )
 def j6(spark, sf):
-    q, n, links, docs, vec = search_inputs(spark, sf)
-    return search.rank_search(q, n, links, docs, vec, ["title", "kw"]).select("query_id", "id", "rn")
+    q, n, links, index, vec = search_inputs(spark, sf)
+    return search.rank_search(q, n, links, index, vec, ["title", "kw"]).select("query_id", "id", "rn")
 
 
 @query(
