@@ -1,3 +1,10 @@
 """worktrail: Spark DataFrame and Structured Streaming operators for activity-memory data."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run inside tasks travel with the plan, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
