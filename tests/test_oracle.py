@@ -5,7 +5,7 @@ import oracle
 import pytest
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQLS = entry.queries(), entry.oracle_sql()
+QUERIES, SQLS = entry.catalog.QUERIES, entry.catalog.SQL
 
 
 @pytest.fixture(scope="module")
@@ -24,4 +24,4 @@ def test_entry(spark):
 
 
 def test_every_sql_has_a_query():
-    assert set(SQLS) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
