@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktrail.llm.store import in_arrow, written
@@ -298,10 +298,14 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     return in_arrow(docs, run, f"{schema}, score double")
 
 
+def held_out(doc_id: Column) -> Column:
+    """The quarter of ids whose labels are never learned from."""
+    return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
+
+
 def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of all documents, learned from labels outside the held-out quarter."""
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    held = lambda c: F.crc32(F.encode(F.col(c).cast("string"), "UTF-8")) % 4 == 2
-    model = learn(docs, labels.where(~held("doc_id")))
+    model = learn(docs, labels.where(~held_out(F.col("doc_id"))))
     done = score_texts(docs.select("doc_id", "text"), model)
-    return done.select("doc_id", F.coalesce(held("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
