@@ -15,14 +15,15 @@ from worktrail.llm.decontaminate import contamination
 from worktrail.llm.minhash import near_duplicates
 from worktrail.llm.secrets import scan_secrets
 from worktrail.llm.store import written
-from worktrail.llm.toxicity import THRESHOLD, learn, score_texts
+from worktrail.llm.toxicity import THRESHOLD, held_out, learn, score_texts
 
 REDACTED = "[secret]"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; learned from all labels."""
-    model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that score below the threshold; learned from the labels that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = learn(docs, labels.where(~held_out(F.col("doc_id"))))
     return score_texts(docs, model).where(F.col("score") < THRESHOLD).select(*docs.columns)
 
 
