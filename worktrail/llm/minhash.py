@@ -23,7 +23,9 @@ THRESHOLD = 80  # per cent
 # A pair at the threshold shares no band once in 1.6 million times: (1 - 0.8 ** 5) ** 36.
 BANDS, ROWS = 36, 5
 DOMAIN = 1 << 20
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+# Standard deviations by which the coordinates of a pair at the threshold fall short once in 3 million times.
+SHORTFALL = 5
 _PART = 1 << 14
 
 
@@ -75,7 +77,8 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """Per row of documents: set size, a 128-bit fingerprint of the set, and the key of each band."""
+    """Per row of documents: set size, a 128-bit fingerprint of the set, the key of each band,
+    and the low byte of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circulant = once(f"circulant {bands} {rows}", lambda: Circulant(bands * rows))
@@ -94,9 +97,10 @@ def _sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame
             keys = mix((signature * factor).reshape(len(some), bands, rows).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
             ends = np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), *[pa.array(p.view(np.int64)) for p in prints], listed], ["id", "digest", "n", "f1", "f2", "bands"])
+            low = pa.ListArray.from_arrays(pa.array(ends * rows, pa.int32()), pa.array(signature.astype(np.uint8).ravel().view(np.int8)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), *[pa.array(p.view(np.int64)) for p in prints], listed, low], ["id", "digest", "n", "f1", "f2", "bands", "low"])
 
-    return in_arrow(docs, run, "id bigint, digest bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
+    return in_arrow(docs, run, "id bigint, digest bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>, low array<tinyint>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -124,15 +128,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id.  A shorter text is one shingle; a null or empty text has none, is in no group and is kept.
     Documents with equal sets are one from the start (their first stands for them).  Sets that share a band are
     candidates.  Each is compared with the first set of its buckets; then, only in buckets whose sets are not all
-    connected yet, with other leaders, and at last with every set of another component.  So a bucket of copies
-    costs its size, and no candidate pair between components is left out.  Links are confirmed on full sets.
+    connected yet, with other leaders, and at last with every set of another component of which enough
+    coordinates agree.  So a bucket of copies costs its size, and no component is left out.  Links are confirmed on full sets.
     A null id counts as one id smaller than all others; rows with one id are one node; other columns are not carried.
     """
     low = -(1 << 63)
     rowed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     sketched = written(_sketches(rowed, shingle, bands, rows), "sketches")
     some = sketched.where("n > 0")
-    first = some.groupBy("f1", "f2").agg(F.min(F.struct("id", "digest", "n", "bands")).alias("x"))
+    first = some.groupBy("f1", "f2").agg(F.min(F.struct("id", "digest", "n", "bands", "low")).alias("x"))
     sets = written(first.select("f1", "f2", "x.*").withColumn("sid", F.monotonically_increasing_id()), "sets")
     postings = sets.select("sid", "n", F.explode("bands").alias("key"))
     buckets = postings.groupBy("key").agg(F.min("sid").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
@@ -149,6 +153,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = pairs.join(other, "b").join(one, "a").withColumn("both", both)
         return found.where(100 * F.col("both") >= threshold * (F.size("s_a") + F.size("s_b") - F.col("both"))).select("a", "b")
 
+    level, k = threshold / 100, bands * rows
+    enough = int(k * level - SHORTFALL * (k * level * (1 - level)) ** 0.5)
+
     star = shared.where("sid <> leader").select(F.col("leader").alias("a"), F.col("sid").alias("b"), F.col("n").alias("n_b")).distinct()
     pairs = written(star.join(size, "a").where(_near(F.col("n_a"), F.col("n_b"), threshold)).select("a", "b"), "pairs")
     tested, links = [pairs], written(verified(pairs), "links")
@@ -164,7 +171,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if round_ < STAR_ROUNDS:
             new = within.where("root <> p.root").select(F.col("p.sid").alias("x"), F.col("sid").alias("y"), F.col("p.n").alias("n_x"), F.col("n").alias("n_y"))
         else:
-            new = within.select("key", F.col("sid").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("r_x")).join(within.select("key", F.col("sid").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("r_y")), "key").where("r_x < r_y")
+            held = within.select("key", "sid", "n", "root").join(sets.select("sid", "bands", "low"), "sid")
+            x, y = (held.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("sid", "n", "root", "bands", "low")]) for side in "xy")
+            # In the first band that both share, and only if enough coordinates agree.
+            once_ = F.array_min(F.array_intersect("bands_x", "bands_y")) == F.col("key")
+            agree = F.aggregate(F.zip_with("low_x", "low_y", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
+            new = x.join(y, "key").where((F.col("root_x") < F.col("root_y")) & _near(F.col("n_x"), F.col("n_y"), threshold) & once_ & (agree >= enough)).withColumnsRenamed({"sid_x": "x", "sid_y": "y"})
         new = new.where(_near(F.col("n_x"), F.col("n_y"), threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         for old in tested:
             new = new.join(old, ["a", "b"], "left_anti")
