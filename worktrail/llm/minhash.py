@@ -24,9 +24,11 @@ THRESHOLD = 80  # per cent
 BANDS, ROWS = 36, 5
 DOMAIN = 1 << 20
 STAR_ROUNDS = 3
+# Coordinates by which sets of one bucket but of different components are told apart before full sets are compared.
+LONG_COORDINATES = 512
 # Standard deviations by which the coordinates of a pair at the threshold fall short once in 3 million times.
 SHORTFALL = 5
-_PART = 1 << 14
+_PART = 1 << 13
 
 
 class Circulant:
@@ -77,8 +79,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """Per row of documents: set size, a 128-bit fingerprint of the set, the key of each band,
-    and the low byte of each coordinate."""
+    """Per row of documents: set size, a 128-bit fingerprint of the set, the key of each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circulant = once(f"circulant {bands} {rows}", lambda: Circulant(bands * rows))
@@ -97,22 +98,24 @@ def _sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame
             keys = mix((signature * factor).reshape(len(some), bands, rows).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
             ends = np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
-            low = pa.ListArray.from_arrays(pa.array(ends * rows, pa.int32()), pa.array(signature.astype(np.uint8).ravel().view(np.int8)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), *[pa.array(p.view(np.int64)) for p in prints], listed, low], ["id", "digest", "n", "f1", "f2", "bands", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), *[pa.array(p.view(np.int64)) for p in prints], listed], ["id", "digest", "n", "f1", "f2", "bands"])
 
-    return in_arrow(docs, run, "id bigint, digest bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>, low array<tinyint>")
+    return in_arrow(docs, run, "id bigint, digest bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """``sid`` and the full set of each row (``sid``, ``text``)."""
+    """``sid``, the full set of each row (``sid``, ``text``), and the low bytes of a longer signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        circulant = once(f"circulant {LONG_COORDINATES}", lambda: Circulant(LONG_COORDINATES))
         for batch in batches:
             doc, hashes = shingle_sets(batch.column(1), shingle)
             ends = np.searchsorted(doc, np.arange(len(batch) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], ["sid", "shingles"])
+            low = circulant.signatures(doc, hashes, len(batch)).astype(np.uint8).view(np.int8)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * LONG_COORDINATES), pa.array(low.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64))), listed], ["sid", "shingles", "low"])
 
-    return in_arrow(docs, run, "sid bigint, shingles array<bigint>")
+    return in_arrow(docs, run, "sid bigint, shingles array<bigint>, low array<tinyint>")
 
 
 def _near(a: Column, b: Column, threshold: int) -> Column:
@@ -136,7 +139,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rowed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     sketched = written(_sketches(rowed, shingle, bands, rows), "sketches")
     some = sketched.where("n > 0")
-    first = some.groupBy("f1", "f2").agg(F.min(F.struct("id", "digest", "n", "bands", "low")).alias("x"))
+    first = some.groupBy("f1", "f2").agg(F.min(F.struct("id", "digest", "n", "bands")).alias("x"))
     sets = written(first.select("f1", "f2", "x.*").withColumn("sid", F.monotonically_increasing_id()), "sets")
     postings = sets.select("sid", "n", F.explode("bands").alias("key"))
     buckets = postings.groupBy("key").agg(F.min("sid").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
@@ -153,7 +156,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = pairs.join(other, "b").join(one, "a").withColumn("both", both)
         return found.where(100 * F.col("both") >= threshold * (F.size("s_a") + F.size("s_b") - F.col("both"))).select("a", "b")
 
-    level, k = threshold / 100, bands * rows
+    level, k = threshold / 100, LONG_COORDINATES
     enough = int(k * level - SHORTFALL * (k * level * (1 - level)) ** 0.5)
 
     star = shared.where("sid <> leader").select(F.col("leader").alias("a"), F.col("sid").alias("b"), F.col("n").alias("n_b")).distinct()
@@ -171,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if round_ < STAR_ROUNDS:
             new = within.where("root <> p.root").select(F.col("p.sid").alias("x"), F.col("sid").alias("y"), F.col("p.n").alias("n_x"), F.col("n").alias("n_y"))
         else:
-            held = within.select("key", "sid", "n", "root").join(sets.select("sid", "bands", "low"), "sid")
+            held = within.select("key", "sid", "n", "root").join(sets.select("sid", "bands"), "sid").join(full.select("sid", "low"), "sid")
             x, y = (held.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("sid", "n", "root", "bands", "low")]) for side in "xy")
             # In the first band that both share, and only if enough coordinates agree.
             once_ = F.array_min(F.array_intersect("bands_x", "bands_y")) == F.col("key")
