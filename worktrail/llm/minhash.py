@@ -23,12 +23,12 @@ THRESHOLD = 80  # per cent
 # A pair at the threshold shares no band once in 1.6 million times: (1 - 0.8 ** 5) ** 36.
 BANDS, ROWS = 36, 5
 DOMAIN = 1 << 20
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 # Coordinates by which sets of one bucket but of different components are told apart before full sets are compared.
-LONG_COORDINATES = 512
+LONG_COORDINATES = 1024
 # Standard deviations by which the coordinates of a pair at the threshold fall short once in 3 million times.
 SHORTFALL = 5
-_PART = 1 << 13
+_PART = 1 << 12
 
 
 class Circulant:
