@@ -342,15 +342,34 @@ def test_answer_pool_loses_nothing(spark):
                          rnd.choice(["A", "B", "", None, f"app{rn % 90}"]), 0 if q % 2 else None, 5000 if q % 2 else None))
     schema = "query_id long, id long, rn int, kind string, kind_hint string, entity_boost int, ts_ms long, thread_id string, app_hint string, from_ms long, to_ms long"
     df = spark.createDataFrame(data, schema)
-    got = rows(ranking.select_for_answer(df), "query_id", "position", "id")
-    slot = ranking.time_bucket(F.col("ts_ms"), F.col("from_ms"), F.col("to_ms"), 5)
-    whole = df.withColumn("slot", slot).toPandas()
-    want = []
-    for q, part in whole.groupby("query_id"):
-        part = part.sort_values("rn", ignore_index=True)
-        want += [(q, n + 1, int(part["id"][i])) for n, (i, _) in enumerate(ranking._pick(part, 50))]
-    assert got == sorted(want) and len(got) == 300
-    assert isinstance(whole, pd.DataFrame)
+    for budget, caps in ((50, (20, 15, 10, 5)), (30, (20, 10, 0, 0)), (38, (20, 15, 3, 0))):
+        assert ranking.answer_caps(budget) == caps
+        got = rows(ranking.select_for_answer(df, budget), "query_id", "position", "id")
+        assert got == sorted((q, n + 1, i) for q in {d[0] for d in data} for n, i in enumerate(_answer([d for d in data if d[0] == q], budget, caps)))
+
+
+def _answer(rows, budget, caps):
+    """One query's choice, each stage as a filter of what the stages before left."""
+    pinned, hinted, threads, varied = caps
+    rows = sorted(rows, key=lambda r: r[2])
+    out = sorted((r for r in rows if r[3] == "event" and r[5] > 0), key=lambda r: (-r[6], r[2]))[:pinned]
+    left = lambda: [r for r in rows if r not in out]
+    out += [r for r in left() if r[4] and r[3] == r[4]][:hinted]
+    order = list(dict.fromkeys(r[7] for r in out if r[7]))
+    order.sort(key=lambda t: -max(r[6] for r in out if r[7] == t))
+    out += [r for t in order for r in [x for x in left() if x[7] == t][:3]][:threads]
+    if varied:
+        if rows[0][9] is not None:
+            width = max(1, (rows[0][10] - rows[0][9]) // varied)
+            slots = [[r for r in left() if r[9] <= r[6] <= r[10] and min(varied - 1, (r[6] - r[9]) // width) == k][:1] for k in range(varied)]
+            out += sorted(sum(slots, []), key=lambda r: r[2])
+        seen = {r[8] for r in out}
+        fresh = {}
+        for r in left():
+            if r[8] and r[8] not in seen:
+                fresh.setdefault(r[8], r)
+        out += list(fresh.values())[:varied]
+    return [r[1] for r in (out + left())[:budget]]
 
 
 @pytest.mark.parametrize("min_rows", [10, 2_000, 10**6])

@@ -113,17 +113,14 @@ def is_near_dup(a: str | Column, b: str | Column, threshold: int = DUPLICATE_DIS
 def clamp_box(left: Column, top: Column, width: Column, height: Column, image_w: Column, image_h: Column) -> Column:
     """Crop box inside the image: whole pixels, at least 1 by 1, no overrun; null for an empty image."""
 
-    def bound(c: Column, lo: Column, hi: Column) -> Column:
-        return F.least(F.greatest(F.floor(c), lo), hi)
-
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    x = bound(left, zero, F.greatest(zero, image_w - 1))
-    y = bound(top, zero, F.greatest(zero, image_h - 1))
-    w = bound(width, one, F.greatest(one, image_w - x))
-    h = bound(height, one, F.greatest(one, image_h - y))
-    box = F.struct(
-        x.alias("left"), y.alias("top"), F.least(w, image_w - x).alias("width"), F.least(h, image_h - y).alias("height")
-    )
+    def interval(start: Column, length: Column, size: Column) -> tuple[Column, Column]:
+        """First pixel and length of an interval, moved and cut so that it lies on the axis."""
+        first = F.least(F.greatest(F.floor(start), F.lit(0).cast("long")), size - 1)
+        room = size - first
+        return first, F.when(length < 1, F.lit(1).cast("long")).when(length >= room, room).otherwise(F.floor(length))
+
+    (x, w), (y, h) = interval(left, width, image_w), interval(top, height, image_h)
+    box = F.struct(x.alias("left"), y.alias("top"), w.alias("width"), h.alias("height"))
     return F.when((image_w > 0) & (image_h > 0), box)
 
 

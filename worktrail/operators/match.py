@@ -146,11 +146,15 @@ def parse_window_name(df: DataFrame, col: str, aliases: DataFrame) -> DataFrame:
         F.max(F.struct(F.length("__form").alias("len"), "canonical", F.col("__form").alias("form"))).alias("__best")
     )
     trimmed = strip("__name")
-    quoted = F.concat(F.lit(r"\Q"), F.col("__best.form"), F.lit(r"\E"))
-    leading = F.concat(F.lit("(?is)^"), quoted, F.lit(rf"\s*{DELIMITERS}\s*(.+)$"))
-    trailing = F.concat(F.lit(rf"(?is)^(.+?)\s*{DELIMITERS}\s*"), quoted, F.lit("$"))
-    group = lambda pattern: strip(F.call_function("regexp_extract", trimmed, pattern, F.lit(1)))
-    title = F.when(F.rlike(trimmed, leading), group(leading)).when(F.rlike(trimmed, trailing), group(trailing))
+    # The title is what stands after the app and a delimiter, or before a delimiter and the app.
+    form = F.col("__best.form")
+    size = F.length(form)
+    after = strip(F.substr(trimmed, size + 1))
+    before = strip(F.substr(trimmed, F.lit(1), F.length(trimmed) - size))
+    at_front, at_back = F.lower(trimmed).startswith(form), F.lower(trimmed).endswith(form)
+    title = F.when(at_front & F.substr(after, F.lit(1), F.lit(1)).rlike(DELIMITERS), strip(F.substr(after, F.lit(2)))).when(
+        at_back & F.substr(before, F.length(before)).rlike(DELIMITERS), strip(F.substr(before, F.lit(1), F.length(before) - 1))
+    )
     parsed = best.select(
         F.col("__name"), F.col("__best.canonical").alias("app"), F.when(title != "", title).alias("title")
     )

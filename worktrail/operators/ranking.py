@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,9 +156,10 @@ def one_per_bucket(ranked: DataFrame, buckets: int = DIVERSITY_CAP) -> DataFrame
 
 
 def retention_plan(manifest: DataFrame, now_ms: int, max_count: int = KEEP_FILES, max_age_ms: int = KEEP_MS) -> DataFrame:
-    """Which files to delete: all but the newest ``max_count`` by name, and those too old."""
-    keep = manifest.orderBy(F.col("name").desc()).limit(max_count).select("name", F.lit(True).alias("__keep"))
-    joined = manifest.join(keep, "name", "left")
+    """Which files to delete: all but the newest ``max_count`` by name (then path), and those too old."""
+    by = [c for c in ("name", "path") if c in manifest.columns]  # a name may occur in several folders
+    keep = manifest.orderBy(*[F.col(c).desc() for c in by]).limit(max_count).select(*by, F.lit(True).alias("__keep"))
+    joined = manifest.join(keep, by, "left")
     delete = F.col("__keep").isNull() | (now_ms - F.col("mtime_ms") > max_age_ms)
     return joined.withColumn("delete", delete).drop("__keep")
 
@@ -300,72 +300,63 @@ def answer_pool(ranked: DataFrame, budget: int = ANSWER_BUDGET) -> DataFrame:
     return pool.drop("__p").dropDuplicates(["query_id", "id"])
 
 
-def _pick(rows: pd.DataFrame, budget: int) -> list[tuple[int, str]]:
-    """Indices of the chosen rows of one query, with the stage that chose each."""
-    chosen: dict[int, str] = {}
-
-    def take(candidates, limit: int, stage: str) -> int:
-        got = 0
-        for i in candidates:
-            if got >= limit or len(chosen) >= budget:
-                break
-            if i not in chosen:
-                chosen[i] = stage
-                got += 1
-        return got
-
-    col = {c: rows[c].tolist() for c in ("kind", "kind_hint", "entity_boost", "ts_ms", "thread_id", "app_hint", "slot")}
-    every = range(len(rows))
-    text = lambda v: isinstance(v, str) and v != ""
-    entity_events = [i for i in every if col["kind"][i] == "event" and col["entity_boost"][i] > 0]
-    take(sorted(entity_events, key=lambda i: -col["ts_ms"][i]), PINNED_CAP, "entity")
-    take([i for i in every if text(col["kind_hint"][i]) and col["kind"][i] == col["kind_hint"][i]], HINTED_CAP, "kind")
-
-    latest: dict[str, int] = {}
-    for i in chosen:
-        if text(col["thread_id"][i]):
-            latest[col["thread_id"][i]] = max(col["ts_ms"][i], latest.get(col["thread_id"][i], 0))
-    left = THREAD_CAP
-    for thread in sorted(latest, key=lambda t: -latest[t]):
-        left -= take([i for i in every if col["thread_id"][i] == thread], min(PER_THREAD, left), "thread")
-
-    filled: set = set()
-    for i in every:
-        s = col["slot"][i]
-        if s == s and s is not None and s not in filled and take([i], 1, "time"):
-            filled.add(s)
-
-    apps = {col["app_hint"][i] for i in chosen}
-    room = DIVERSITY_CAP
-    for i in every:
-        if room and text(col["app_hint"][i]) and col["app_hint"][i] not in apps and take([i], 1, "app"):
-            apps.add(col["app_hint"][i])
-            room -= 1
-    take(every, budget, "fill")
-    return list(chosen.items())
+def answer_caps(budget: int) -> tuple[int, int, int, int]:
+    """Rows for entity events, the hinted kind, their threads, and variety: each of what the budget leaves."""
+    caps, left = [], budget
+    for most in (PINNED_CAP, HINTED_CAP, THREAD_CAP, DIVERSITY_CAP):
+        caps.append(min(most, left))
+        left -= caps[-1]
+    return tuple(caps)
+
+
+def _stage(pool: DataFrame, name: str, fits: Column, order: list[Column], most: Column | int) -> DataFrame:
+    """Give the first ``most`` rows without a stage, among those that fit, this stage and the next positions."""
+    query = Window.partitionBy("query_id")
+    free = F.col("stage").isNull() & F.coalesce(fits, F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("query_id", "__free").orderBy(*order))
+    taken = F.count("stage").over(query)
+    ranked = pool.withColumn("__free", free).withColumns({"__rank": rank, "__taken": taken})
+    place = F.col("__taken") + F.col("__rank")
+    now = F.col("__free") & (F.col("__rank") <= most) & (place <= F.col("budget"))
+    marked = {"position": F.when(now, place).otherwise(F.col("position")), "stage": F.when(now, F.lit(name)).otherwise(F.col("stage"))}
+    return ranked.withColumns(marked).drop("__free", "__rank", "__taken")
+
+
+def _first_free(group: list[str]) -> Column:
+    """Whether a row is the best one without a stage in its group."""
+    mine = Window.partitionBy("query_id", *group)
+    return F.col("rn") == F.min(F.when(F.col("stage").isNull(), F.col("rn"))).over(mine)
 
 
 def select_for_answer(ranked: DataFrame, budget: int = ANSWER_BUDGET) -> DataFrame:
     """Up to ``budget`` ranked rows per query, chosen in stages, with position and stage.
 
-    Stages: events that match an entity, the hinted kind, threads of those, one row per time
-    slice, apps not seen yet, then rank order.  The pool per query is bounded beforehand.
+    Stages: events that match an entity, the hinted kind, threads of those (latest thread first, three
+    rows each), one row per time slice, apps not seen yet, then rank order.  The pool per query is
+    bounded beforehand; each stage is a ranked take from the rows that have none yet.
     """
-    slot = time_bucket(F.col("ts_ms"), F.col("from_ms"), F.col("to_ms"), DIVERSITY_CAP)
+    pinned, hinted, threads, varied = answer_caps(budget)
+    slot = time_bucket(F.col("ts_ms"), F.col("from_ms"), F.col("to_ms"), max(1, varied))
     cols = ["query_id", "id", "rn", "kind", "kind_hint", "entity_boost", "ts_ms", "thread_id", "app_hint"]
-    pool = answer_pool(ranked, budget).select(*cols, slot.alias("slot"))
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rn", ignore_index=True)
-        picks = _pick(rows, budget)
-        at = [i for i, _ in picks]
-        return pd.DataFrame(
-            {
-                "query_id": rows["query_id"].iloc[at].to_numpy(),
-                "id": rows["id"].iloc[at].to_numpy(),
-                "position": range(1, len(at) + 1),
-                "stage": [s for _, s in picks],
-            }
-        )
-
-    return pool.groupBy("query_id").applyInPandas(choose, "query_id long, id long, position int, stage string")
+    none = {"budget": F.lit(budget), "stage": F.lit(None).cast("string"), "position": F.lit(None).cast("long")}
+    pool = answer_pool(ranked, budget).select(*cols, slot.alias("slot")).withColumns(none)
+    best = [F.col("rn")]
+    pool = _stage(pool, "entity", (F.col("kind") == "event") & (F.col("entity_boost") > 0), [F.col("ts_ms").desc_nulls_last(), *best], pinned)
+    pool = _stage(pool, "kind", F.col("kind") == F.col("kind_hint"), best, hinted)
+
+    thread = Window.partitionBy("query_id", "thread_id")
+    begun = F.col("stage").isNotNull() & (F.col("thread_id") != "")
+    latest, found = F.max(F.when(begun, F.col("ts_ms"))).over(thread), F.min(F.when(begun, F.col("position"))).over(thread)
+    within = F.row_number().over(Window.partitionBy("query_id", "thread_id", F.col("stage").isNull()).orderBy("rn"))
+    pool = pool.withColumns({"__latest": latest, "__found": found, "__within": within})
+    of_thread = F.col("__found").isNotNull() & (F.col("__within") <= PER_THREAD)
+    pool = _stage(pool, "thread", of_thread, [F.col("__latest").desc_nulls_last(), F.col("__found"), *best], threads).drop("__latest", "__found", "__within")
+
+    if varied:
+        pool = pool.withColumn("__first", F.col("slot").isNotNull() & _first_free(["slot"]))
+        pool = _stage(pool, "time", F.col("__first"), best, varied).drop("__first")
+        seen = F.max(F.col("stage").isNotNull().cast("int")).over(Window.partitionBy("query_id", "app_hint")) == 1
+        pool = pool.withColumn("__first", (F.col("app_hint") != "") & ~seen & _first_free(["app_hint"]))
+        pool = _stage(pool, "app", F.col("__first"), best, varied).drop("__first")
+    pool = _stage(pool, "fill", F.lit(True), best, budget)
+    return pool.where("stage IS NOT NULL").select("query_id", "id", F.col("position").cast("int").alias("position"), "stage")
