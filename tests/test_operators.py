@@ -508,3 +508,9 @@ def test_capture_stream(spark, tmp_path):
     s.writeStream.format("memory").queryName("caps").trigger(availableNow=True).start().awaitTermination(60)
     r = spark.table("caps").first()
     assert (r["source_key"], r["app_hint"], r["window_title"], r["storage_state"]) == ("screen:d1", None, "A", "ephemeral")
+
+
+def test_retention_counts_each_path_once(spark):
+    df = spark.createDataFrame([("a.png", "/x/a.png", 5), ("a.png", "/y/a.png", 5), ("b.png", "/x/b.png", 9)], "name string, path string, mtime_ms long")
+    got = rows(ranking.retention_plan(df, 10, max_count=2, max_age_ms=100), "path", "delete")
+    assert got == [("/x/a.png", True), ("/x/b.png", False), ("/y/a.png", False)]

@@ -247,11 +247,11 @@ def c11(spark, sf):
 
 def capture_batches(spark, sf):
     k = F.col("o_orderkey")
-    o = v.table(spark, sf, "orders").filter(k < 1000)
+    o = v.table(spark, sf, "orders")
     return o.select(k.alias("batch_id"), F.when(F.col("o_orderstatus") == "F", "succeeded").otherwise("pending").alias("vlm_status"))
 
 
-BATCH_SQL = "b AS (SELECT o_orderkey AS batch_id, CASE WHEN o_orderstatus = 'F' THEN 'succeeded' ELSE 'pending' END AS vlm_status FROM orders WHERE o_orderkey < 1000)"
+BATCH_SQL = "b AS (SELECT o_orderkey AS batch_id, CASE WHEN o_orderstatus = 'F' THEN 'succeeded' ELSE 'pending' END AS vlm_status FROM orders)"
 
 
 @query(

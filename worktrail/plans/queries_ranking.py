@@ -155,10 +155,10 @@ def f8(spark, sf):
     "f10_char_budget",
     """WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, length(text) AS n FROM conversations),
 u AS (SELECT conv_id, turn, rn, CAST(2 + sum(n) OVER (PARTITION BY conv_id ORDER BY rn) + rn - 1 AS BIGINT) AS used FROM c WHERE rn <= 50)
-SELECT conv_id, turn, used FROM u WHERE used <= 600""",
+SELECT conv_id, turn, used FROM u WHERE used <= 24000""",
 )
 def f10(spark, sf):
-    return ranking.char_budget(v.table(spark, sf, "conversations"), "conv_id", [F.col("turn")], "text", 50, 600).select("conv_id", "turn", "used")
+    return ranking.char_budget(v.table(spark, sf, "conversations"), "conv_id", [F.col("turn")], "text", 50, 24_000).select("conv_id", "turn", "used")
 
 
 @query(

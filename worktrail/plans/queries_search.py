@@ -110,10 +110,10 @@ def range_queries(spark, sf):
     v.more("nodes") + f"""q AS (SELECT p_partkey AS query_id, {START} + p_partkey % 29 * 86400000 AS from_ms, {START} + p_partkey % 29 * 86400000 + p_size * 3600000 AS to_ms,
  CASE WHEN p_partkey % 3 = 0 THEN 't' || (p_partkey % 150) END AS th FROM part)
 SELECT query_id, id FROM q JOIN nodes ON ts_ms BETWEEN from_ms AND to_ms AND (th IS NULL OR thread_id = th)
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ts_ms DESC, id DESC) <= 100""",
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ts_ms DESC, id DESC) <= 2000""",
 )
 def g2(spark, sf):
-    return search.time_recall(v.nodes(spark, sf), range_queries(spark, sf), 100).select("query_id", "id")
+    return search.time_recall(v.nodes(spark, sf), range_queries(spark, sf), 2000).select("query_id", "id")
 
 
 @query(

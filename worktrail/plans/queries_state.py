@@ -389,7 +389,7 @@ def i21(spark, sf):
 @query(
     "i22_upsert_markers",
     v.more("threads") + """t AS (SELECT *, 'thr_' || thread_id AS event_key, CASE WHEN num % 3 = 0 THEN 'Deep Work ' || num END AS et,
-  CASE WHEN num % 2 = 0 THEN 'First line. Second' END AS ed, CASE WHEN num % 5 <> 0 THEN 'coding' END AS ek FROM threads WHERE node_count >= 30),
+  CASE WHEN num % 2 = 0 THEN 'First line. Second' END AS ed, CASE WHEN num % 5 <> 0 THEN 'coding' END AS ek FROM threads),
 n AS (SELECT thread_id, id, row_number() OVER (PARTITION BY thread_id ORDER BY ts_ms DESC, id DESC) AS rn FROM nodes WHERE thread_id IN (SELECT thread_id FROM t)),
 ids AS (SELECT thread_id, string_agg(id::VARCHAR, ',' ORDER BY rn) AS node_ids FROM n WHERE rn <= 200 GROUP BY 1),
 o AS (SELECT event_key, thread_id, last_active_ms - CASE WHEN num % 7 = 0 THEN 5 ELSE 0 END AS end_ms, CASE WHEN num % 4 <> 0 THEN 'text' END AS details_text FROM t WHERE num % 11 <> 0),
@@ -403,7 +403,7 @@ def i22(spark, sf):
     n = v.nodes(spark, sf)
     num = F.substring("thread_id", 2, 20).cast("long")
     txt = num.cast("string")
-    t = v.threads(spark, sf).filter("node_count >= 30").select(
+    t = v.threads(spark, sf).select(
         "thread_id", F.concat(F.lit("T"), txt).alias("title"), F.lit(None).cast("string").alias("current_phase"),
         F.when(num % 3 == 0, F.concat(F.lit("Deep Work "), txt)).alias("event_title"), F.when(num % 2 == 0, "First line. Second").alias("event_description"),
         F.when(num % 5 != 0, "coding").alias("event_kind"), "start_ms", "last_active_ms", (F.col("last_active_ms") - F.col("start_ms")).alias("duration_ms"),
