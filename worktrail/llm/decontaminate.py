@@ -215,5 +215,4 @@ def op6_positional_index(spark: SparkSession, sf: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near_items"),
     )

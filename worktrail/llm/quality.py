@@ -128,4 +128,5 @@ def host_quality(docs: DataFrame, id_col: str = "doc_id", host_col: str = "sourc
 
 def op1_host_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Rules and host verdicts of all documents; the source is the host."""
-    return host_quality(spark.read.parquet(f"{sf}/documents.parquet"))
+    done = host_quality(spark.read.parquet(f"{sf}/documents.parquet"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
