@@ -299,7 +299,7 @@ def test_toxicity(spark):
 def test_without_labels_nothing_is_toxic(spark):
     docs = table(spark, HARD)
     model = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert all(r.score < 0.6 for r in toxicity.score_texts(docs, model).collect())
+    assert all(r.score < 0.3 for r in toxicity.score_texts(docs, model).collect())
 
 
 def test_empty_tables(spark):

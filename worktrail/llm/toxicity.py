@@ -227,14 +227,19 @@ def _word_counts(sample: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
-    """Lexicon and model from the labelled texts, of which ``fit_rows`` at most are used (least hash of the id)."""
+    """Lexicon and model from the labelled texts, of which ``fit_rows`` at most are used (least hash of the id).
+
+    Without a toxic text among them, all scores are alike and below 0.3.
+    """
     rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = written(texts.join(F.broadcast(chosen), "id").select("text", "toxic"), "sample").repartition(8 * max(1, fit_rows // 8000))
     n_toxic, n_clean = (x or 0 for x in sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
-    if not n_toxic:
-        return Model([])
+    if not n_toxic:  # nothing to learn from: every text scores low alike
+        unknown = np.zeros(FEATURES + 1)
+        unknown[0] = np.log(0.5 / (n_clean + 1.5))
+        return Model([], unknown)
     counts = written(_word_counts(sample), "words")
     odds = F.log((F.col("bad") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     least = max(3, n_toxic // 200)
