@@ -130,6 +130,17 @@ def test_minhash_hard_cases(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in copies) == [(0, 0, True), (1, 0, False), (2, 2, True), (2, 2, True), (3, 0, False), (5, 5, True)]
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n, changed in ((150, 30), (150, 0), (3000, 700), (1, 1)):
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64, endpoint=False))
+        b = np.unique(np.append(a[changed:], rng.integers(0, 2**64, changed, np.uint64, endpoint=False)))
+        rows = minhash.parities(np.repeat([0, 1], [len(a), len(b)]), np.append(a, b), 3)
+        differ = int(np.bitwise_count(rows[0] ^ rows[1]).sum())
+        assert differ <= len(np.setxor1d(a, b)) and (n > 150 or differ >= len(np.setxor1d(a, b)) - 8)
+        assert not rows[2].any()
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(330)] + [(1000 + i, 1001 + i) for i in range(60)]

@@ -28,6 +28,8 @@ STAR_ROUNDS = 2
 LONG_COORDINATES = 1024
 # Standard deviations by which the coordinates of a pair at the threshold fall short once in 3 million times.
 SHORTFALL = 5
+# Bits of a parity sketch: those that differ are at most the shingles that two sets do not share.
+PARITY_BITS = 4096
 _PART = 1 << 12
 
 
@@ -78,6 +80,17 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[first], hashes[first]
 
 
+def parities(doc: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
+    """Per set, for each of ``PARITY_BITS`` classes of shingles, whether it has an odd number of them; as 64-bit words.
+
+    A class can differ between two sets only by a shingle that one of them lacks, so the bits that differ
+    bound the symmetric difference from below; with few differences among many classes they nearly equal it.
+    """
+    at = doc * PARITY_BITS + (shingle % np.uint64(PARITY_BITS)).astype(np.int64)
+    odd = np.bincount(at, minlength=n * PARITY_BITS).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, PARITY_BITS), axis=1).view(np.int64)
+
+
 def _sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """Per row of documents: set size, a 128-bit fingerprint of the set, the key of each band."""
 
@@ -104,7 +117,7 @@ def _sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """``sid``, the full set of each row (``sid``, ``text``), and the low bytes of a longer signature."""
+    """``sid``, the full set of each row (``sid``, ``text``), the low bytes of a longer signature, a parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circulant = once(f"circulant {LONG_COORDINATES}", lambda: Circulant(LONG_COORDINATES))
@@ -112,10 +125,11 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
             doc, hashes = shingle_sets(batch.column(1), shingle)
             ends = np.searchsorted(doc, np.arange(len(batch) + 1)).astype(np.int32)
             low = circulant.signatures(doc, hashes, len(batch)).astype(np.uint8).view(np.int8)
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * LONG_COORDINATES), pa.array(low.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64))), listed], ["sid", "shingles", "low"])
+            parity = parities(doc, hashes, len(batch))
+            rows = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64))), rows(low), rows(parity)], ["sid", "shingles", "low", "parity"])
 
-    return in_arrow(docs, run, "sid bigint, shingles array<bigint>, low array<tinyint>")
+    return in_arrow(docs, run, "sid bigint, shingles array<bigint>, low array<tinyint>, parity array<bigint>")
 
 
 def _near(a: Column, b: Column, threshold: int) -> Column:
@@ -131,8 +145,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id.  A shorter text is one shingle; a null or empty text has none, is in no group and is kept.
     Documents with equal sets are one from the start (their first stands for them).  Sets that share a band are
     candidates.  Each is compared with the first set of its buckets; then, only in buckets whose sets are not all
-    connected yet, with other leaders, and at last with every set of another component of which enough
-    coordinates agree.  So a bucket of copies costs its size, and no component is left out.  Links are confirmed on full sets.
+    connected yet, with other leaders, and at last with every set of another component that two sketches
+    (parities of shingle classes, a longer signature) do not rule out.  So a bucket of copies costs its size, and no component is left out.  Links are confirmed on full sets.
     A null id counts as one id smaller than all others; rows with one id are one node; other columns are not carried.
     """
     low = -(1 << 63)
@@ -174,12 +188,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if round_ < STAR_ROUNDS:
             new = within.where("root <> p.root").select(F.col("p.sid").alias("x"), F.col("sid").alias("y"), F.col("p.n").alias("n_x"), F.col("n").alias("n_y"))
         else:
-            held = within.select("key", "sid", "n", "root").join(sets.select("sid", "bands"), "sid").join(full.select("sid", "low"), "sid")
-            x, y = (held.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("sid", "n", "root", "bands", "low")]) for side in "xy")
-            # In the first band that both share, and only if enough coordinates agree.
+            held = within.select("key", "sid", "n", "root").join(sets.select("sid", "bands"), "sid").join(full.select("sid", "low", "parity"), "sid")
+            x, y = (held.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("sid", "n", "root", "bands", "low", "parity")]) for side in "xy")
+            # In the first band that both share, and only if neither sketch rules the pair out: the parities
+            # never do so wrongly, and are near exact for small sets; the coordinates tell larger sets apart.
             once_ = F.array_min(F.array_intersect("bands_x", "bands_y")) == F.col("key")
             agree = F.aggregate(F.zip_with("low_x", "low_y", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
-            new = x.join(y, "key").where((F.col("root_x") < F.col("root_y")) & _near(F.col("n_x"), F.col("n_y"), threshold) & once_ & (agree >= enough)).withColumnsRenamed({"sid_x": "x", "sid_y": "y"})
+            differ = F.aggregate(F.zip_with("parity_x", "parity_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+            close = differ * (100 + threshold) <= (F.col("n_x") + F.col("n_y")) * (100 - threshold)
+            new = x.join(y, "key").where((F.col("root_x") < F.col("root_y")) & _near(F.col("n_x"), F.col("n_y"), threshold) & once_ & close & (agree >= enough)).withColumnsRenamed({"sid_x": "x", "sid_y": "y"})
         new = new.where(_near(F.col("n_x"), F.col("n_y"), threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         for old in tested:
             new = new.join(old, ["a", "b"], "left_anti")
