@@ -136,7 +136,7 @@ def test_parities_bound_the_difference():
         a = np.unique(rng.integers(0, 2**64, n, np.uint64, endpoint=False))
         b = np.unique(np.append(a[changed:], rng.integers(0, 2**64, changed, np.uint64, endpoint=False)))
         rows = minhash.parities(np.repeat([0, 1], [len(a), len(b)]), np.append(a, b), 3)
-        differ = int(np.bitwise_count(rows[0] ^ rows[1]).sum())
+        differ = int(np.bitwise_count((rows[0] ^ rows[1]).view(np.uint64)).sum())
         assert differ <= len(np.setxor1d(a, b)) and (n > 150 or differ >= len(np.setxor1d(a, b)) - 8)
         assert not rows[2].any()
 
