@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import types
 import uuid
@@ -42,16 +44,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of bounded rows and bytes."""
+    """``mapInArrow`` with batches of bounded rows and bytes; a worker that goes on to other tasks starts them small."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+    user = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _held()
+        if held.get("user") != user:
+            held.clear()
+            held["user"] = user
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def _held() -> dict[str, Any]:
+    """What this Python worker keeps between tasks; functions are shipped by value, so it is no variable of this module."""
+    return sys.modules.setdefault("_worktrail_llm_held", types.ModuleType("_worktrail_llm_held")).__dict__.setdefault("things", {})
 
 
 def once(key: str, make: Callable[[], Any]) -> Any:
-    """``make()``, kept for the life of this Python worker: tasks that reuse the worker share it."""
-    held = sys.modules.setdefault("_worktrail_llm_held", types.ModuleType("_worktrail_llm_held"))
-    if key not in held.__dict__:
-        held.__dict__[key] = make()
-    return held.__dict__[key]
+    """``make()``, kept in this Python worker for as long as its tasks are those of one ``in_arrow``."""
+    held = _held()
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+def give_back() -> None:
+    """Hand memory that a task no longer uses back to the system: idle workers count towards an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
