@@ -1,8 +1,8 @@
 """The training-data pipeline: toxicity, near duplicates, benchmark passages, secrets, token ids.
 
 Each stage gets what the one before it kept, as Parquet, and works on all of it; all but the last return
-the columns of ``documents``.  A stage's rule for null ids and texts is that of its operator: rows with a
-null text pass the filters (they match nothing) and get an empty list of ids at the end.
+the columns of ``documents``.  Each row is judged by its own text, also if its id is null or that of other
+rows.  Rows with a null text pass the filters (they match nothing) and get an empty list of ids at the end.
 """
 
 from __future__ import annotations
@@ -28,22 +28,42 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8): the one with the smallest id."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*docs.columns)
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8): the one with the smallest id.
+
+    Rows with one id and one text are one document and stay together; rows with one id and different texts are
+    different ones (on equal ids, that with the smaller digest stays), and so is each row with a null id (smaller
+    than all others).  Rows get a written key for this, since neither ids nor texts tell them apart.
+    """
+    keyed = written(docs.withColumns({"_key": F.monotonically_increasing_id(), "_digest": F.xxhash64("text")}), "keyed")
+    unit = F.struct("doc_id", "_digest", F.when(F.col("doc_id").isNull(), F.col("_key")).alias("own"))
+    units = keyed.select("_key", unit.alias("unit"))
+    groups = near_duplicates(keyed, id_col="_key").select(F.col("_key").alias("of"), "component_id")
+    # A document without words is a group by itself.
+    kept = units.join(groups, F.col("_key") == F.col("of")).groupBy("component_id").agg(F.min("unit").alias("unit")).select("unit.*")
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("_digest").alias("kept_digest"), F.col("own").alias("kept_own"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_digest") == F.col("kept_digest"))
+    own = F.when(F.col("doc_id").isNull(), F.col("_key"))
+    return keyed.join(kept, same & own.eqNullSafe(F.col("kept_own")), "left_semi").select(*docs.columns)
+
+
+def _by_text(docs: DataFrame) -> DataFrame:
+    """With ``_digest``, by which what was found in a text comes back to all rows that have it, whatever their ids."""
+    return docs.withColumn("_digest", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*docs.columns)
+    """Documents without any benchmark window; each row by its own text."""
+    docs_ = _by_text(docs)
+    found = contamination(docs_, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_digest")
+    gone = found.where(F.size("spans") > 0).select(F.col("_digest").alias("gone")).distinct()
+    return docs_.join(gone, F.col("_digest") == F.col("gone"), "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret (base and added spans, overlapping ones as one) replaced; ``n_chars`` follows the text."""
-    found = scan_secrets(docs).select(F.col("doc_id").alias("of"), F.array_sort(F.concat("base", "added")).alias("spans")).where(F.size("spans") > 0)
-    found = found.dropDuplicates(["of", "spans"])
+    """All rows, each secret of the row's own text (base and added spans, overlapping ones as one) replaced; ``n_chars`` follows the text."""
+    docs_ = _by_text(docs)
+    found = scan_secrets(docs_, id_col="_digest").select(F.col("_digest").alias("of"), F.array_sort(F.concat("base", "added")).alias("spans")).where(F.size("spans") > 0)
+    found = found.dropDuplicates(["of"])  # equal texts have equal spans
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
     def step(acc, s):
@@ -54,10 +74,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     rest = lambda acc: F.concat(acc["text"], F.substring("text", acc["at"] + 1, F.length("text")))
     clean = F.aggregate("spans", start, step, rest)
-    joined = docs.join(found, F.col("doc_id") == F.col("of"), "left")
-    text = F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text"))
-    n_chars = F.when(F.col("spans").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars"))
-    return joined.select(*[text.alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
+    joined = docs_.join(found, F.col("_digest") == F.col("of"), "left")
+    done = joined.withColumn("text", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text")))
+    n_chars = F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,23 @@ def test_null_and_empty_documents_pass(spark):
         docs = stage(spark, docs, SF)
     got = sorted((r.doc_id or 0, r.n_tokens) for r in docs.collect())
     assert [g[0] for g in got] == [0, 1, 2, 3, 3] and got[1][1] == got[2][1] == 0
+
+
+def test_rows_with_null_or_shared_ids_are_judged_by_their_own_text(spark):
+    passage = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 80").first().text
+    long = " ".join(f"word{i}" for i in range(60))
+    secret, later = "token = abcdefgh1 x", "some words before it and then token = abcdefgh1 y"
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = lambda *given: spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in given], schema)
+    result = lambda stage, *given: sorted(((r.doc_id, r.text, r.n_chars) for r in stage(spark, rows(*given), SF).collect()), key=str)
+    plain = lambda *given: sorted(((d, t, len(t)) for d, t in given), key=str)
+    clean = "nothing to hide in this text"
+    got = result(P.redact_secrets, (None, secret), (7, secret), (7, later), (8, later), (8, clean), (None, clean))
+    cut, cut_later = f"{P.REDACTED} x", f"some words before it and then {P.REDACTED} y"
+    assert got == plain((None, cut), (7, cut), (7, cut_later), (8, cut_later), (8, clean), (None, clean))
+    leak = f"first {passage} last"
+    assert result(P.drop_contaminated, (None, leak), (None, clean), (5, leak), (5, clean), (6, leak)) == plain((None, clean), (5, clean))
+    # Null ids are documents of their own and smaller than all others; one id with other texts is other documents.
+    near = long + " tail"
+    assert result(P.drop_near_duplicates, (None, long), (None, long), (3, near), (3, clean), (4, clean), (None, ""), (None, "")) == plain((None, long), (3, clean), (None, ""), (None, ""))
+    assert result(P.drop_near_duplicates, (1, long), (2, near), (2, clean), (2, clean), (9, clean)) == plain((1, long), (2, clean), (2, clean))
