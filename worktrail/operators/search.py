@@ -37,11 +37,33 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return terms.select("query_id", F.explode("t").alias("term"), F.size("t").alias("n_terms"))
 
 
+def _full_matches(postings: DataFrame, terms: DataFrame, df: DataFrame) -> DataFrame:
+    """Postings ``(query_id, term, doc_id, tf)`` of the documents that have every term of the query.
+
+    A document that has all terms has the rarest, so the other terms are looked up only in the
+    documents of that one; a query with a term that no document has is out.  ``df(term, df)``.
+    """
+    rarest = (
+        terms.join(df, "term")
+        .groupBy("query_id")
+        .agg(F.count("*").alias("known"), F.max("n_terms").alias("n_terms"), F.min(F.struct("df", "term")).alias("least"))
+        .filter("known = n_terms")
+        .select("query_id", F.col("least.term").alias("term"))
+    )
+    cands = postings.select("term", "doc_id").join(rarest, "term").select("query_id", "doc_id")
+    rows = cands.join(terms, "query_id").join(postings, ["term", "doc_id"])
+    full = rows.groupBy("query_id", "doc_id").agg(
+        F.max("n_terms").alias("n_terms"), F.collect_list(F.struct("term", "tf")).alias("found")
+    )
+    return full.filter(F.size("found") == F.col("n_terms")).select("query_id", "doc_id", F.inline("found"))
+
+
 def fts_match(postings: DataFrame, queries: DataFrame) -> DataFrame:
     """Pairs ``(query_id, doc_id)`` where the document has every term of the query."""
-    joined = postings.join(query_terms(queries), "term")
-    found = joined.groupBy("query_id", "doc_id").agg(F.count("*").alias("n"), F.max("n_terms").alias("n_terms"))
-    return found.filter("n = n_terms").select("query_id", "doc_id")
+    terms = query_terms(queries)
+    hit = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    df = hit.groupBy("term").agg(F.count("*").alias("df"))
+    return _full_matches(hit, terms, df).select("query_id", "doc_id").distinct()
 
 
 def bm25(postings: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
@@ -53,19 +75,17 @@ def bm25(postings: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFra
     terms = query_terms(queries)
     hit = postings.join(terms.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = terms.join(df, "term")
     n_docs = lengths.select(F.count("*").alias("n")).scalar()
     mean = lengths.select(F.avg("length").alias("m")).scalar()
     idf = F.greatest(F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     tf, size = F.col("tf"), F.col("length") / mean
     part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size))
     return (
-        hit.join(weighted, "term")
+        _full_matches(hit, terms, df)
+        .join(df, "term")
         .join(lengths, "doc_id")
         .groupBy("query_id", "doc_id")
-        .agg(F.sum(part).alias("score"), F.count("*").alias("n"), F.max("n_terms").alias("n_terms"))
-        .filter("n = n_terms")
-        .select("query_id", "doc_id", "score")
+        .agg(F.sum(part).alias("score"))
     )
 
 

@@ -6,7 +6,7 @@ from worktrail.functions.text import tokens
 from worktrail.operators import joins, search, vectors
 from worktrail.operators.blocks import DAY_MS
 from worktrail.plans import views as v
-from worktrail.plans.queries_filters import INDEX_SQL, documents, fts_queries, wanted
+from worktrail.plans.queries_filters import INDEX_SQL, WORDS_SQL, documents, fts_queries, wanted
 from worktrail.plans.queries_ranking import RANK_SQL, ranked
 from worktrail.plans.registry import query
 from worktrail.session import cut, spread
@@ -61,11 +61,12 @@ def j8(spark, sf):
 
 # --- full text ---------------------------------------------------------------------------
 
-BM25_SQL = INDEX_SQL + """, st AS (SELECT count(*) AS n, avg(length) AS mean FROM len),
+SCORE_SQL = """, st AS (SELECT count(*) AS n, avg(length) AS mean FROM len),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
 sc AS (SELECT query_id, doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS score
  FROM post JOIN qt USING (term) JOIN dfs USING (term) JOIN len USING (doc_id), st GROUP BY 1, 2 HAVING count(*) = max(n_terms))
 """
+BM25_SQL = INDEX_SQL + SCORE_SQL
 
 
 def scored(spark, sf):
@@ -196,7 +197,7 @@ def search_inputs(spark, sf):
     return cut(search_queries(spark, sf)), n, v.links(spark, sf), index, docs
 
 
-SEARCH_SQL = v.more("nodes", "links") + BM25_SQL.rstrip() + """,
+SEARCH_SQL = v.more("nodes", "links") + (WORDS_SQL + SCORE_SQL).rstrip() + """,
 q AS (SELECT item_id AS query_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')[4:5], ' ') AS text,
  CASE WHEN item_id % 2 = 0 THEN 1704067200000 + item_id % 20 * 86400000 END AS from_ms, CASE WHEN item_id % 2 = 0 THEN 1704067200000 + (item_id % 20 + 3) * 86400000 END AS to_ms,
  CASE WHEN item_id % 5 = 0 THEN 't' || (item_id % 40) END AS q_thread, CASE WHEN item_id % 3 = 0 THEN 'ent ' || (item_id % 7) END AS ent,
