@@ -317,6 +317,13 @@ def test_knn_lsh_recall_with_a_hot_bucket(cloud):
     assert mean >= 0.9
 
 
+def test_registered_index_finds_the_given_neighbours(spark):
+    from worktrail.plans.queries_search import j1, j2
+
+    found, exact = (q(spark, "/root/testdata/sf0.01") for q in (j2, j1))
+    assert vectors.recall(found, exact).agg(F.avg("recall")).first()[0] >= 0.9
+
+
 def test_full_text_queries_ask_for_whole_texts(spark):
     """All words of a text are asked for, and a document that lacks one does not match."""
     import re

@@ -150,6 +150,47 @@ def knn_lsh(
     # fresh column identities, so that a table may be searched for its own rows
     own_names = lambda df, i: df.select(F.col(i).alias(i), F.col("embedding").alias("embedding"))
     q, v = hashed(own_names(queries, "query_id")), hashed(own_names(vectors, "vector_id"))
+    return _in_buckets(q, v, k, cell_queries, cell_vectors)
+
+
+def _planes_udf(dim: int, tables: int, planes: int, seed: int, probes: bool):
+    """Sides of random hyperplanes as one bucket per table; with ``probes`` also the buckets one plane away."""
+    a = np.random.default_rng(seed).standard_normal((dim, tables * planes))
+    bits = np.int64(1) << np.arange(planes, dtype=np.int64)
+    flips = np.append(np.int64(0), bits) if probes else np.zeros(1, np.int64)
+
+    @F.pandas_udf("array<long>")
+    def buckets(col: pd.Series) -> pd.Series:
+        if not len(col):
+            return pd.Series([], dtype=object)
+        own = ((_matrix(col) @ a > 0).reshape(len(col), tables, planes) * bits).sum(2)
+        return pd.Series(list((own[:, :, None] ^ flips).reshape(len(col), -1)))
+
+    return buckets
+
+
+def knn_hyperplanes(
+    queries: DataFrame, vectors: DataFrame, k: int = TOP_K, dim: int | None = None, tables: int = 28, planes: int = 8,
+    seed: int = 7, cell_queries: int = CELL_QUERIES, cell_vectors: int = CELL_VECTORS,
+) -> DataFrame:
+    """Approximate nearest neighbours by angle, for vectors of about one length.
+
+    A query is compared with the vectors that lie, in any table, on its side of all hyperplanes or of all
+    but one.  Distances are exact; ``knn_exact`` is the way that misses nothing.
+    """
+    if dim is None:
+        dim = vectors.agg(F.max(F.size("embedding")).alias("d")).first()["d"]
+
+    def hashed(df: DataFrame, i: str, probes: bool) -> DataFrame:
+        own = df.select(F.col(i).alias(i), F.col("embedding").alias("embedding"), _planes_udf(dim, tables, planes, seed, probes)("embedding").alias("__b"))
+        out = own.select(i, "embedding", F.posexplode("__b").alias("t", "b"))
+        return out.withColumn("t", F.floor(F.col("t") / (planes + 1 if probes else 1)).cast("int"))
+
+    return _in_buckets(hashed(queries, "query_id", True), hashed(vectors, "vector_id", False), k, cell_queries, cell_vectors)
+
+
+def _in_buckets(q: DataFrame, v: DataFrame, k: int, cell_queries: int, cell_vectors: int) -> DataFrame:
+    """Best ``k`` per query among the vectors of its buckets ``(t, b)``, each split into cells of bounded size."""
     parts = lambda df, size, name: df.groupBy("t", "b").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
     sizes = parts(q, cell_queries, "g").join(parts(v, cell_vectors, "h"), ["t", "b"])
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")

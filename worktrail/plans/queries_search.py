@@ -47,7 +47,7 @@ def d12(spark, sf):
 
 @query("j2_knn_lsh")
 def j2(spark, sf):
-    return vectors.knn_lsh(vector_queries(spark, sf), vector_rows(spark, sf))
+    return vectors.knn_hyperplanes(vector_queries(spark, sf), vector_rows(spark, sf))
 
 
 @query("j8_phash")
