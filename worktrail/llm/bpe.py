@@ -124,7 +124,7 @@ class PairIndexBPE:
             index(np.unique(np.concatenate([at, preceding[preceding < n]])))
         kept = symbol[:n] >= 0
         ends = np.concatenate([[0], np.cumsum(kept)])[border]
-        ids = symbol[:n][kept].astype(np.uint16 if self.width <= 1 << 16 else np.uint32)
+        ids = symbol[:n][kept].astype(np.uint32)
         return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     @staticmethod
@@ -155,12 +155,12 @@ class PairIndexBPE:
         cut = [() if p in self.added else self.word_pattern.findall(p) for p in pieces]
         words = list(dict.fromkeys(w for ws in cut for w in ws))
         known = dict(zip(words, self.merge_words(words), strict=True))
-        special = lambda p: np.array([self.added[p]] if p in self.added else [], np.uint16)
+        special = lambda p: np.array([self.added[p]] if p in self.added else [], np.uint32)
         return [known[ws[0]] if len(ws) == 1 else np.concatenate([known[w] for w in ws]) if ws else special(p) for p, ws in zip(pieces, cut, strict=True)]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text of any kind."""
-        return np.concatenate([np.zeros(0, np.uint16), *self.encode_pieces(self.split(text))])
+        return np.concatenate([np.zeros(0, np.uint32), *self.encode_pieces(self.split(text))])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a list of ids; bytes that are no UTF-8 become U+FFFD."""

@@ -1,7 +1,7 @@
 """Token ids of whole texts from the ids of their pieces.
 
 A piece is a stretch that the tokenizer treats alone, whatever stands around it.  Pieces of a batch
-are found and hashed as bytes; each distinct one is encoded once and its ids are kept in the worker,
+are found and compared as bytes; each distinct one is encoded once and its ids are kept in the worker,
 up to a bound.
 """
 
@@ -15,9 +15,9 @@ import pyarrow.compute as pc
 
 from worktrail.llm.words import BLANK, SPACE, Words, words
 
-# Distinct pieces that a worker keeps (about 40 bytes each); beyond it, it starts again with none.
-KEPT_PIECES = 2_000_000
-_LED = np.uint64(0x5851F42D4C957F2D)
+# Distinct pieces that a worker keeps, and their bytes (about 150 more each); beyond it, it starts again with none.
+KEPT_PIECES = 500_000
+KEPT_BYTES = 64 << 20
 # White space beyond ASCII, with the controls that some libraries count as such.
 _WIDE = "\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 # A space before more white space or at the end, or what may be a special string.
@@ -35,9 +35,7 @@ def space_pieces(texts: pa.Array) -> Words:
     A pattern that takes one leading space into a word never joins across such a space, so the
     pieces can be encoded one by one, each with its space.
     """
-    w = words(texts, BLANK)
-    w.hash = w.hash ^ np.where(_led(w), _LED, np.uint64(0))
-    return w
+    return words(texts, BLANK)
 
 
 def white_pieces(texts: pa.Array) -> Words:
@@ -54,51 +52,52 @@ def _led(w: Words) -> np.ndarray:
 
 
 class PieceIds:
-    """Ids of pieces, remembered; ``encode`` gives the ids of a list of new pieces."""
+    """Ids of pieces, remembered by the piece itself; ``encode`` gives the ids of a list of new pieces."""
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], spaced: bool, kept: int = KEPT_PIECES) -> None:
-        self.encode, self.spaced, self.kept = encode, spaced, kept
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], spaced: bool, kept: int = KEPT_PIECES, kept_bytes: int = KEPT_BYTES) -> None:
+        self.encode, self.spaced, self.kept, self.kept_bytes = encode, spaced, kept, kept_bytes
         self._clear()
 
     def _clear(self) -> None:
-        self.hash = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int32)
-        self.flat = np.zeros(1 << 16, np.uint16)
-        self.used = 0
-
-    def _learn(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
-        new = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
-        while self.used + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(new)] = new
-        place = np.searchsorted(self.hash, hashes)
-        self.hash = np.insert(self.hash, place, hashes)
-        self.at = np.insert(self.at, place, self.used + np.cumsum(size) - size)
-        self.size = np.insert(self.size, place, size)
-        self.used += len(new)
+        self.place: dict[bytes, int] = {}
+        self.at = np.zeros(1 << 12, np.int64)
+        self.size = np.zeros(1 << 12, np.int64)
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.used = self.held = 0
+
+    @staticmethod
+    def _put(into: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
+        """With new values from a place on, in an array that doubles as needed."""
+        while at + len(new) > len(into):
+            into = np.concatenate([into, np.zeros_like(into)])
+        into[at : at + len(new)] = new
+        return into
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        ids = self.encode([p.decode() for p in pieces])
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        n = len(self.place)
+        self.place.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.at = self._put(self.at, n, self.used + np.cumsum(size) - size)
+        self.size = self._put(self.size, n, size)
+        self.flat = self._put(self.flat, self.used, np.concatenate(ids))
+        self.used += int(size.sum())
+        self.held += sum(map(len, pieces))
 
     def of(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
-        if len(self.hash) > self.kept:
+        if len(self.place) > self.kept or self.held > self.kept_bytes:
             self._clear()
-        distinct, example, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.hash, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = place < len(self.hash)
-        known[inside] = self.hash[place[inside]] == distinct[inside]
-        if not known.all():
-            new = example[~known]
-            data = w.data.tobytes()
-            pieces = [data[a:b].decode() for a, b in zip(w.start[new].tolist(), w.end[new].tolist(), strict=True)]
-            if self.spaced:
-                pieces = [f" {p}" if led else p for p, led in zip(pieces, _led(w)[new].tolist(), strict=True)]
-            self._learn(distinct[~known], self.encode(pieces))
-            place = np.searchsorted(self.hash, distinct)
-        each = self.size[place][inverse].astype(np.int64)
+        code, pieces = w.code, w.distinct
+        if self.spaced:  # a piece with and without the space before it are two
+            both, code = np.unique(code * 2 + _led(w), return_inverse=True)
+            pieces = [b" " + pieces[c >> 1] if c & 1 else pieces[c >> 1] for c in both.tolist()]
+        if new := [p for p in pieces if p not in self.place]:
+            self._learn(new)
+        place = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))[code]
+        each = self.size[place]
         border = np.concatenate([[0], np.cumsum(each)])
-        from_ = np.repeat(self.at[place][inverse] - border[:-1], each)
+        from_ = np.repeat(self.at[place] - border[:-1], each)
         return self.flat[from_ + np.arange(border[-1])], border[w.first[1:]] - border[w.first[:-1]]
 
 
@@ -115,7 +114,7 @@ def library_ids(tokenizer, separator: str) -> Callable[[list[str]], list[np.ndar
             part = tokenizer.encode_batch_fast([separator.join(pieces[i : i + 4096])], add_special_tokens=False)[0].ids
             ids = np.asarray(part, np.uint32)
             at = np.flatnonzero(ids == mark)
-            out += _between(ids.astype(np.uint16), at)
+            out += _between(ids, at)
         return out
 
     return encode

@@ -1,13 +1,15 @@
-"""Words of whole texts as 64-bit hashes, for an Arrow batch at a time, and hashes of runs of words.
+"""Words of whole texts, for an Arrow batch at a time, their hashes, and hashes of runs of words.
 
+Within a batch words are told apart by their bytes; what leaves a task is a 64-bit hash of them.
 Words are found on UTF-8 bytes, which is exact for the two patterns in use: both have all
 code points beyond ASCII inside words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -15,20 +17,27 @@ import pyarrow as pa
 SPACE = "space"  # words [^\x20\x09-\x0D]+
 BLANK = "blank"  # words [^\x20]+
 ALNUM = "alnum"  # words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = np.uint64(0xD1342543DE82EF95)
-_PART = 1 << 20
 
 
 @dataclass
 class Words:
-    """Words of ``n`` texts: text ``i`` has words ``first[i]`` to ``first[i + 1]``; ``start`` and ``end`` are bytes in ``data``."""
+    """Words of ``n`` texts: text ``i`` has words ``first[i]`` to ``first[i + 1]``; ``start`` and ``end`` are bytes in ``data``.
+
+    ``code`` is the place of each word in ``distinct``, the batch's distinct words as (lower-cased) bytes.
+    """
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
-    hash: np.ndarray
+    code: np.ndarray
+    distinct: list[bytes]
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        return hashed(self.distinct)[self.code]
 
     def doc(self) -> np.ndarray:
         """The text of each word."""
@@ -67,29 +76,22 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def _encoded(data: np.ndarray, start: np.ndarray, end: np.ndarray, inside: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The distinct words as bytes, and the number of each word in that list: equal numbers mean equal bytes."""
+    joined = codes[data[inside]]
+    border = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(border), pa.py_buffer(joined)])
+    coded = array.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray, codes: np.ndarray) -> Iterator[np.ndarray]:
-    """Polynomials over the bytes of each word, for so many words at a time that they have about ``_PART`` bytes."""
-    power = _powers(int(length.max(initial=0)))
-    ends = np.cumsum(length)
-    at = 0
-    while at < len(start):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PART, side="right")))
-        s, n = start[at:to], length[at:to]
-        begin = np.cumsum(n) - n
-        inner = np.arange(int(n.sum())) - np.repeat(begin, n)
-        value = (codes[data[np.repeat(s, n) + inner]].astype(np.uint64) + np.uint64(1)) * power[inner]
-        yield np.add.reduceat(value, begin)
-        at = to
+def hashed(things: list[bytes]) -> np.ndarray:
+    """64 bits of a cryptographic digest of each: no input can be made up so that different things agree."""
+    return np.frombuffer(b"".join([blake2b(x, digest_size=8).digest() for x in things]), np.uint64)
 
 
 def words(texts: pa.Array, kind: str = SPACE, lower: bool = False) -> Words:
-    """All words of each text, with hashes (of lower-cased A-Z if asked)."""
+    """All words of each text (A-Z lower-cased if asked)."""
     data, border = text_bytes(texts)
     codes, inside = _tables(kind, lower)
     m = inside[data]
@@ -100,19 +102,20 @@ def words(texts: pa.Array, kind: str = SPACE, lower: bool = False) -> Words:
     begins[inner] = m[inner]
     ends[inner - 1] = m[inner - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    parts = list(_hashes(data, start, end - start, codes))
-    hashed = mix(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-    return Words(data, start, end, np.searchsorted(start, border), hashed)
+    code, distinct = _encoded(data, start, end, m, codes)
+    return Words(data, start, end, np.searchsorted(start, border), code, distinct)
 
 
 def runs(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of ``k`` consecutive words from each word on, and whether they lie within one text."""
+    """Hashes of ``k`` consecutive words from each word on, and whether they lie within one text.
+
+    Each step scrambles what came before, so that the hash is no polynomial in those of the words.
+    """
     n = len(w.hash)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, k, np.uint64)
     if n >= k:
         part = out[: n - k + 1]
         for j in range(k):
-            part *= _STEP
-            part += w.hash[j : n - k + 1 + j]
+            part[:] = mix(part * _STEP + w.hash[j : n - k + 1 + j])
     doc_end = np.repeat(w.first[1:], np.diff(w.first))
-    return mix(out), np.arange(n) + k <= doc_end
+    return out, np.arange(n) + k <= doc_end
