@@ -5,7 +5,7 @@ Scores, token ids, shuffles and spans behind lookarounds have no SQL; ``tests/ll
 
 from __future__ import annotations
 
-from worktrail.llm import bpe, counts, decontaminate, minhash, quality, secrets, sharding, substrings, tokenfiles, toxicity
+from worktrail.llm import bpe, counts, decontaminate, minhash, quality, resampling, secrets, sharding, substrings, tokenfiles, toxicity
 
 QUERIES = {
     "op1_host_quality": quality.op1_host_quality,
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_secret_ownership": secrets.op8_secret_ownership,
     "op9_two_pass_shuffle": sharding.op9_two_pass_shuffle,
     "op10_token_files": tokenfiles.op10_token_files,
+    "op13_importance_draw": resampling.op13_importance_draw,
 }
 
 _BLANKS = "[\\x20\\x09-\\x0D]+"
