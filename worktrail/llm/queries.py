@@ -5,7 +5,7 @@ Scores, token ids, shuffles and spans behind lookarounds have no SQL; ``tests/ll
 
 from __future__ import annotations
 
-from worktrail.llm import bpe, counts, decontaminate, minhash, quality, resampling, secrets, sharding, substrings, tokenfiles, toxicity
+from worktrail.llm import bpe, collocations, counts, decontaminate, minhash, quality, resampling, secrets, sharding, substrings, tokenfiles, toxicity
 
 QUERIES = {
     "op1_host_quality": quality.op1_host_quality,
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_secret_ownership": secrets.op8_secret_ownership,
     "op9_two_pass_shuffle": sharding.op9_two_pass_shuffle,
     "op10_token_files": tokenfiles.op10_token_files,
+    "op11_quotient_phrases": collocations.op11_quotient_phrases,
     "op13_importance_draw": resampling.op13_importance_draw,
 }
 
@@ -75,10 +76,24 @@ u AS (SELECT r, m, greatest(2.0, least(1000.0, CASE WHEN v > 0 THEN m * (1 - m)
 j AS (SELECT source, bool_or((k + m * strength) / (n + strength) > 0.4 AND (k + m * strength) / (n + strength) > 2 * m) AS host_rejected FROM h JOIN u USING (r) GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed, NOT (f1 OR f2) AND NOT (host_rejected AND (f1 OR f2 OR f3 OR f4 OR f5)) AS kept, host_rejected
 FROM f JOIN j ON f.source IS NOT DISTINCT FROM j.source"""
+_OP11 = f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS t FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(s, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS s FROM d)),
+g AS (SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS ph FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) AS v(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, ph, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, ph, a, string_split(ph, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
+i AS (SELECT lang, a, array_to_string(w[i:i+m-1], ' ') AS ph FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c))),
+x AS (SELECT DISTINCT c.lang, c.ph FROM c JOIN i ON c.lang = i.lang AND c.ph = i.ph AND 100::HUGEINT * i.a >= 80 * c.a),
+s AS (SELECT c.lang, c.ph, c.a, j, l.a AS l, r.a AS r, ((2000000::HUGEINT * c.a) // (l.a::HUGEINT + r.a))::BIGINT AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM c ANTI JOIN x USING (lang, ph)) c
+ JOIN f l ON l.lang = c.lang AND l.k = j AND l.ph = array_to_string(c.w[1:j], ' ') JOIN f r ON r.lang = c.lang AND r.k = c.k - j AND r.ph = array_to_string(c.w[j+1:c.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, j) = 1),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, ph) AS rank FROM b)
+SELECT lang, rank, ph AS phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000"""
 
 SQL: dict[str, str] = {
     "op1_host_quality": _OP1,
     "op5_circulant_minhash": _OP5,
     "op6_positional_index": _OP6,
     "op7_seed_extend": _OP7,
+    "op11_quotient_phrases": _OP11,
 }

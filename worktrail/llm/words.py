@@ -76,7 +76,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def _encoded(data: np.ndarray, start: np.ndarray, end: np.ndarray, inside: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+def encoded(data: np.ndarray, start: np.ndarray, end: np.ndarray, inside: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """The distinct words as bytes, and the number of each word in that list: equal numbers mean equal bytes."""
     joined = codes[data[inside]]
     border = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
@@ -102,7 +102,7 @@ def words(texts: pa.Array, kind: str = SPACE, lower: bool = False) -> Words:
     begins[inner] = m[inner]
     ends[inner - 1] = m[inner - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    code, distinct = _encoded(data, start, end, m, codes)
+    code, distinct = encoded(data, start, end, m, codes)
     return Words(data, start, end, np.searchsorted(start, border), code, distinct)
 
 
