@@ -5,7 +5,7 @@ Scores, token ids, shuffles and spans behind lookarounds have no SQL; ``tests/ll
 
 from __future__ import annotations
 
-from worktrail.llm import bpe, collocations, counts, decontaminate, minhash, quality, resampling, secrets, sharding, substrings, tokenfiles, toxicity
+from worktrail.llm import bpe, collocations, counts, decontaminate, minhash, quality, recurrent, resampling, secrets, sharding, substrings, tokenfiles, toxicity
 
 QUERIES = {
     "op1_host_quality": quality.op1_host_quality,
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_two_pass_shuffle": sharding.op9_two_pass_shuffle,
     "op10_token_files": tokenfiles.op10_token_files,
     "op11_quotient_phrases": collocations.op11_quotient_phrases,
+    "op12_recurrent_scores": recurrent.op12_recurrent_scores,
     "op13_importance_draw": resampling.op13_importance_draw,
 }
 
