@@ -19,21 +19,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrail.llm.dictionary import HOT_BYTES, resolved, vocabulary
-from worktrail.llm.store import in_arrow, written
+from worktrail.llm.dictionary import HOT_BYTES, from_planes, matched, planes, vocabulary
+from worktrail.llm.store import discard, in_arrow, written
 from worktrail.llm.words import SPACE, words
 
 OWN_SHARE = 16_384
-STATE, VECTOR = 16, 16
+STATE, VECTOR = 12, 12
 WINDOW = 32
 RATE = 0.01
 # Tokens of a gradient step at least, and of a sequence in training at most.
 STEP_TOKENS = 2048
-SEGMENT = 4096
+SEGMENT = 1024
 # Shares (of 16) of the training documents for each round.
-ROUNDS = (1, 1, 2, 4, 8)
+ROUNDS = (1, 3, 12)
 # Tokens that a task trains on or scores at a time (one block at least).
-GROUP_TOKENS = 1 << 20
+GROUP_TOKENS = 1 << 21
 END = 0  # the symbol after the last word of each text
 _CHUNK = 1 << 14
 _F = np.float32
@@ -289,7 +289,7 @@ class Adam:
 
 def trained(net: Network, symbols: np.ndarray, lengths: np.ndarray, adam: Adam, window: int = WINDOW) -> None:
     """Train in place on all tokens of some texts, window after window; texts longer than ``SEGMENT`` are several sequences."""
-    n = int(np.clip(len(symbols) // (64 * window), 8, 256))
+    n = int(np.clip(len(symbols) // SEGMENT, 8, 256))
     state = np.zeros((n, STATE), _F)
     for given, reset, target, _ in _windows(symbols, segments(lengths), n, window, seed=adam.steps):
         g, state, _ = net.gradient(given, reset, state[: given.shape[1]], target)
@@ -327,11 +327,16 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataF
                 continue
             w = words(batch.column(1), SPACE, lower=True)
             train = batch.column(2).to_numpy(zero_copy_only=False)
-            n = np.bincount(w.code[train[w.doc()]], minlength=len(w.distinct))
+            # Frequent words get small codes.
+            order = np.argsort(-np.bincount(w.code, minlength=len(w.distinct)), kind="stable")
+            renamed = np.empty(len(order), np.int32)
+            renamed[order] = np.arange(len(order), dtype=np.int32)
+            code = renamed[w.code]
+            n = np.bincount(code[train[w.doc()]], minlength=len(order))
             listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            strings = pa.array([x.decode() for x in w.distinct], pa.string())
+            strings = pa.array([w.distinct[i].decode() for i in order.tolist()], pa.string())
             sizes = pa.array(np.diff(w.first), pa.int32())
-            yield pa.RecordBatch.from_arrays([listed(batch.column(0)), listed(batch.column(2)), listed(batch.column(3)), listed(sizes), pa.array([w.code.astype(np.int32).tobytes()], pa.binary()), listed(strings), listed(pa.array(n, pa.int64()))], ["ids", "train", "round", "sizes", "codes", "words", "n"])
+            yield pa.RecordBatch.from_arrays([listed(batch.column(0)), listed(batch.column(2)), listed(batch.column(3)), listed(sizes), pa.array([planes(code)], pa.binary()), listed(strings), listed(pa.array(n, pa.int64()))], ["ids", "train", "round", "sizes", "codes", "words", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"), F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(sum(ROUNDS))).cast("int").alias("round"))
@@ -339,33 +344,35 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataF
     return done.withColumn("block", F.monotonically_increasing_id())
 
 
-def _streams(blocks: DataFrame, kind: str, tokens: int, distinct: int, ends: int, tail_logs: np.ndarray, own: int, unknown: float, single: float) -> DataFrame:
+def _streams(blocks: DataFrame, kind: str, tokens: int, distinct: int, own: np.ndarray, tail_logs: np.ndarray, unknown: float, single: float) -> DataFrame:
     """Per block: texts with their base and tail sums, and ``symbols`` (16 bits each), the end of each text included."""
     floor = np.log10(tokens + 0.1 * (distinct + 1))
+    counts, tails_from, ends = own.astype(np.int64), len(own), int(own[END])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 ids, train, round_, sizes = (batch.column(j)[i].values for j in range(4))
-                code, found = np.frombuffer(batch.column(4)[i].as_buffer(), np.int32), batch.column(5)[i]
+                code = from_planes(batch.column(4)[i].as_buffer(), np.int32)
                 size = sizes.to_numpy().astype(np.int64)
-                count, symbol = np.zeros(int(code.max(initial=-1)) + 1, np.int64), np.full(int(code.max(initial=-1)) + 1, own, np.int64)
-                if found.is_valid:
-                    at = found.values.field("at").to_numpy()
-                    count[at], symbol[at] = found.values.field("c").to_numpy(), found.values.field("symbol").to_numpy()
+                count = np.zeros(int(code.max(initial=-1)) + 1, np.int64)
+                if batch.column(5)[i].is_valid:
+                    count[batch.column(5)[i].values.to_numpy()] = batch.column(6)[i].values.to_numpy()
+                symbol = np.where(count < 0, -count, tails_from + np.frexp(np.maximum(count, 1))[1] - 1)  # 2 ** n to 2 ** (n + 1) - 1
+                count = np.where(count < 0, counts[np.maximum(-count, 0)], count)
                 base = np.log10(count + 0.1) - floor
-                tail = np.where(symbol >= own, np.log10(np.maximum(count, 1)) + tail_logs[np.maximum(symbol - own, 0)], 0.0)
-                tail[(symbol == own) & (count == 0)], tail[(symbol == own) & (count == 1)] = unknown, single
+                tail = np.where(symbol >= tails_from, np.log10(np.maximum(count, 1)) + tail_logs[np.maximum(symbol - tails_from, 0)], 0.0)
+                tail[(symbol == tails_from) & (count == 0)], tail[(symbol == tails_from) & (count == 1)] = unknown, single
                 border = np.concatenate([[0], np.cumsum(size)])
                 sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[code])])[border])
                 end = np.log10(ends + 0.1) - floor
                 stream = np.insert(symbol[code], border[1:], END).astype(np.uint16)
                 listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), x)
                 columns = [ids, train, round_, pa.array(size + 1), pa.array(sums((count > 0).astype(np.int64)) + (ends > 0)), pa.array(sums(base) + end), pa.array(sums(tail))]
-                yield pa.RecordBatch.from_arrays([*map(listed, columns), pa.array([stream.tobytes()], pa.binary())], ["ids", "train", "round", "sizes", "known", "base", "tail", "symbols"])
+                yield pa.RecordBatch.from_arrays([*map(listed, columns), pa.array([planes(stream)], pa.binary())], ["ids", "train", "round", "sizes", "known", "base", "tail", "symbols"])
 
     schema = f"ids array<{kind}>, train array<boolean>, round array<int>, sizes array<bigint>, known array<bigint>, base array<double>, tail array<double>, symbols binary"
-    return in_arrow(blocks.select("ids", "train", "round", "sizes", "codes", "found"), run, schema)
+    return in_arrow(blocks.select("ids", "train", "round", "sizes", "codes", "at", "v"), run, schema)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -387,7 +394,7 @@ def _joined(rows: list[pa.RecordBatch], name: str) -> np.ndarray:
 
 
 def _symbols(rows: list[pa.RecordBatch]) -> np.ndarray:
-    return np.concatenate([np.frombuffer(r.column("symbols")[0].as_buffer(), np.uint16) for r in rows]).astype(np.int64)
+    return np.concatenate([from_planes(r.column("symbols")[0].as_buffer(), np.uint16) for r in rows]).astype(np.int64)
 
 
 def _chosen(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -461,20 +468,23 @@ def language_scores(docs: DataFrame, train: Column | None = None, id_col: str =
     own = np.array([ends, *[r.c for r in frequent]], np.float64)
     # Symbols: 0 is the end; classes are cut in falling order of count, and the end is a class of its own in front.
     borders = [0, *[1 + b for b in class_borders(own[1:])]] if frequent else [0, 1]
-    named = spark.createDataFrame([(r.word, i) for i, r in enumerate(frequent, 1)], "word string, own int")
-    magnitude = F.floor(F.log2(F.greatest(F.col("c"), F.lit(1)).cast("double"))).cast("int")
-    table = counted.join(F.broadcast(named), "word", "left").withColumn("symbol", F.coalesce("own", F.lit(len(own)) + magnitude))
-    table = written(table.select("word", "c", "n_blocks", "symbol"), "symbols")
-    mass = {r.symbol - len(own): r.c for r in table.where(F.col("symbol") >= len(own)).groupBy("symbol").agg(F.sum("c").alias("c")).collect()}  # 64 at most
+    named = spark.createDataFrame([(r.word, i) for i, r in enumerate(frequent, 1)], "word string, own long")
+    # A word's value: its count, or its symbol below zero if it has one of its own.
+    table = counted.join(F.broadcast(named), "word", "left").select("word", "n_blocks", F.coalesce(-F.col("own"), F.col("c")).alias("v"))
+    table = written(table, "values")
+    magnitude = (F.length(F.bin(F.col("v"))) - 1).alias("magnitude")
+    mass = {r.magnitude: r.c for r in table.where("v > 0").groupBy(magnitude).agg(F.sum("v").alias("c")).collect()}  # 64 at most
     tails = np.zeros(max([1, *[t + 1 for t in mass]]))
     for t, c in mass.items():
         tails[t] = c
     unknown = (n1 + 0.5) / (n1 + 2 * n2 + 1) if n1 else 1.0
     logs = -np.log10(np.maximum(tails, 1))
     single = float(np.log10((1 - unknown) / n1)) if n1 else 0.0
-    lists = resolved(blocks, table, [], {"c": F.col("c"), "symbol": F.col("symbol")}, ["ids", "train", "round", "sizes", "codes"])
+    lists = matched(blocks, table, [], F.col("v")).groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("v").alias("v"))  # one order, no nulls
+    lists = blocks.select("block", "ids", "train", "round", "sizes", "codes").join(lists, "block", "left")
     kind = docs.schema[id_col].dataType.simpleString()
-    streams = written(_streams(lists, kind, tokens, distinct, ends, logs, len(own), float(np.log10(unknown)), single), "streams")
+    streams = written(_streams(lists, kind, tokens, distinct, own, logs, float(np.log10(unknown)), single), "streams")
+    discard(blocks, counted, table)
     net = Network.fresh(Sizes(len(own), len(tails), borders), own, tails)
     low = 0
     for i, share in enumerate(ROUNDS if ends else ()):
