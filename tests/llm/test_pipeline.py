@@ -70,3 +70,24 @@ def test_rows_with_null_or_shared_ids_are_judged_by_their_own_text(spark):
     near = long + " tail"
     assert result(P.drop_near_duplicates, (None, long), (None, long), (3, near), (3, clean), (4, clean), (None, ""), (None, "")) == plain((None, long), (3, clean), (None, ""), (None, ""))
     assert result(P.drop_near_duplicates, (1, long), (2, near), (2, clean), (2, clean), (9, clean)) == plain((1, long), (2, clean), (2, clean))
+
+
+def test_extra_columns_come_back_unchanged(spark, monkeypatch):
+    passage = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 80").first().text
+    texts = {1: "nothing to hide in this text", 2: f"first {passage} last", 3: "token = abcdefgh1 x", 4: None, 5: "nothing to hide in this text"}
+    extra = ["score", "of", "spans", "gone", "kept_id", "_key", "_digest", "row", "key", "digest", "clean", "owner", "id", "component_id", "start", "source"]
+    schema = "doc_id long, text string, n_chars int, " + ", ".join(f"`{c}` struct<a: string, b: int>" if i % 2 else f"`{c}` date" for i, c in enumerate(extra))
+    for sent in (200_000, 0):
+        monkeypatch.setattr(P, "SENT_MARKS", sent)
+        docs = spark.createDataFrame([(d, t, 5, *[(f"v{d}", i) if i % 2 else None for i in range(len(extra))]) for d, t in texts.items()], schema)
+        want = {d: r for d, r in ((r.doc_id, r.asDict(True)) for r in docs.collect())}
+        for name, stage in P.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.schema.names == ["doc_id", "text", "n_chars", *extra], name
+        got = {r.doc_id: r.asDict(True) for r in docs.collect()}
+        assert got.keys() == {1, 3, 4}  # 2 holds a passage, 5 is a copy of 1
+        for d, r in got.items():
+            if d == 3:
+                assert r["text"] == f"{P.REDACTED} x" and r["n_chars"] == len(r["text"])
+            assert {c: v for c, v in r.items() if d != 3 or c not in ("text", "n_chars")} == {c: v for c, v in want[d].items() if d != 3 or c not in ("text", "n_chars")}
+
