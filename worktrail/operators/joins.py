@@ -121,11 +121,12 @@ def nearest_k(
 
     A pivot that is a node counts on both sides.  Nodes get their number in the key's
     timeline, a pivot gets the number it falls at, and ``k_before + k_after`` numbers are
-    looked up; pivots are never paired with all nodes of their key.
+    looked up; pivots are never paired with all nodes of their key, and keys without a pivot are left out.
     """
     own = pivots.filter(F.col(key).isNotNull()).select(key, "pivot_id", "ts_ms")
     markers = own.withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1))))
-    line = _timeline(nodes.filter(F.col(key).isNotNull()), markers, [key], block_ms)
+    held = nodes.filter(F.col(key).isNotNull()).join(own.select(key).distinct(), key, "left_semi")
+    line = _timeline(held, markers, [key], block_ms)
     n = F.col("n")
     numbers = F.when(F.col("side") > 0, F.sequence(n - (k_before - 1), n)).otherwise(F.sequence(n + 1, n + k_after))
     wanted = line.filter("side <> 0").select(
@@ -139,7 +140,14 @@ def band_join(
     pivots: DataFrame, nodes: DataFrame, radius_ms: int = BAND_MS, limit: int = NEIGHBORS_BEFORE + NEIGHBORS_AFTER,
     block_ms: int = HOUR_MS,
 ) -> DataFrame:
-    """The earliest ``limit`` nodes within ``radius_ms`` of each pivot, both ends counted."""
+    """The earliest ``limit`` nodes within ``radius_ms`` of each pivot, both ends counted.
+
+    Only nodes in a cell of time (twice the radius wide) that some pivot's band touches are numbered.
+    """
+    width = 2 * radius_ms + 1
+    cell = lambda c: F.floor(c / width)
+    touched = pivots.select(F.explode(F.array(cell(F.col("ts_ms") - radius_ms), cell(F.col("ts_ms") + radius_ms))).alias("__cell")).distinct()
+    nodes = nodes.withColumn("__cell", cell(F.col("ts_ms"))).join(touched, "__cell", "left_semi").drop("__cell")
     markers = pivots.select("pivot_id", (F.col("ts_ms") - radius_ms).alias("ts_ms"), F.lit(-1).alias("side"))
     line = _timeline(nodes, markers, [], block_ms)
     wanted = line.filter("side < 0").select(

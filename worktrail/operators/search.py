@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worktrail.functions.normalize import cap
-from worktrail.functions.text import ellipsis, keyword_terms, tokens
+from worktrail.functions.text import ellipsis, keyword_terms, strip, tokens
 from worktrail.operators.aggregates import result_summary
-from worktrail.operators.blocks import HOUR_MS, top_n
-from worktrail.operators.filters import entity_match, keyword_hits, prefer_kind
-from worktrail.operators.joins import _timeline, band_join, evidence, nearest_k, nodes_for_hits, nodes_for_vectors
+from worktrail.operators.blocks import DAY_MS, HOUR_MS, time_block, top_n
+from worktrail.operators.filters import keyword_hits, names_match, prefer_kind
+from worktrail.operators.joins import band_join, evidence, nearest_k, nodes_for_hits, nodes_for_vectors
 from worktrail.operators.ranking import app_boost, order_evidence, rank_results, select_for_answer
 from worktrail.operators.sets import merge_entities
 from worktrail.operators.vectors import knn_exact
@@ -98,24 +98,32 @@ def keyword_top(hits: DataFrame, limit: int = KEYWORD_LIMIT) -> DataFrame:
     return top_n(hits, ["query_id"], [F.col("ts_ms").desc(), F.col("id").desc()], limit)
 
 
-def time_recall(nodes: DataFrame, queries: DataFrame, limit: int = TIME_LIMIT, block_ms: int = HOUR_MS) -> DataFrame:
+def time_recall(nodes: DataFrame, queries: DataFrame, limit: int = TIME_LIMIT, cell_ms: int = HOUR_MS) -> DataFrame:
     """Newest ``limit`` nodes in each query's closed range (``from_ms``, ``to_ms``), and thread if it names one.
 
-    A node's number on the timeline is looked up, so a query reads at most ``limit`` nodes.
+    Nodes are counted by cell of time (and thread); a query takes cells from the newest back until the
+    whole ones among them hold ``limit`` nodes, and meets the nodes of these cells only.
     """
     asked = queries.filter("from_ms IS NOT NULL AND to_ms IS NOT NULL")
 
     def look_up(part: DataFrame, pool: DataFrame, keys: list[str]) -> DataFrame:
-        markers = part.select(*keys, F.col("query_id").alias("pivot_id"), F.col("to_ms").alias("ts_ms"), F.lit(1).alias("side"))
-        line = _timeline(pool, markers, keys, block_ms)
-        wanted = line.filter("side > 0").select(
-            *keys, F.col("pivot_id").alias("query_id"),
-            F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - (limit - 1)), F.greatest(F.lit(1), F.col("n")))).alias("n"),
-        )
-        found = wanted.join(line.filter("side = 0").select(*keys, "n", "id", "ts_ms"), [*keys, "n"])
-        ranges = part.select("query_id", "from_ms", "to_ms")
-        inside = found.join(ranges, "query_id").filter("ts_ms BETWEEN from_ms AND to_ms")
-        return inside.select("query_id", "id", "ts_ms")
+        celled = pool.select(*keys, "id", "ts_ms", time_block("ts_ms", cell_ms).alias("__cell"))
+        counts = celled.groupBy(*keys, "__cell").agg(F.count("*").alias("n"))
+        counts = cut(counts.withColumn("__day", F.floor(F.col("__cell") * cell_ms / DAY_MS)))
+        first, last = counts.agg(F.min("__day"), F.max("__day")).first()
+        if first is None:
+            return part.select("query_id", F.lit(None).cast("long").alias("id"), "to_ms").limit(0).withColumnRenamed("to_ms", "ts_ms")
+        day = lambda c: F.floor(F.col(c) / DAY_MS)
+        low, high = F.greatest(day("from_ms"), F.lit(first)), F.least(day("to_ms"), F.lit(last))
+        spans = part.select("query_id", *keys, "from_ms", "to_ms", low.alias("__low"), high.alias("__high")).filter("__low <= __high")
+        days = spans.withColumn("__day", F.explode(F.sequence("__low", "__high")))
+        met = days.join(counts, [*keys, "__day"]).filter(F.col("__cell").between(time_block("from_ms", cell_ms), time_block("to_ms", cell_ms)))
+        newer = Window.partitionBy("query_id").orderBy(F.col("__cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        whole = F.when(F.col("__cell") < time_block("to_ms", cell_ms), F.col("n")).otherwise(0)
+        needed = met.withColumn("__newer", F.coalesce(F.sum(whole).over(newer), F.lit(0))).filter(F.col("__newer") < limit)
+        found = celled.join(needed.select("query_id", *keys, "__cell", "from_ms", "to_ms"), [*keys, "__cell"]).filter("ts_ms BETWEEN from_ms AND to_ms")
+        best = Window.partitionBy("query_id").orderBy(F.col("ts_ms").desc(), F.col("id").desc())
+        return found.withColumn("__rn", F.row_number().over(best)).filter(F.col("__rn") <= limit).select("query_id", "id", "ts_ms")
 
     anywhere = look_up(asked.filter("thread_id IS NULL"), nodes, [])
     threaded = look_up(asked.filter("thread_id IS NOT NULL"), nodes.filter("thread_id IS NOT NULL"), ["thread_id"])
@@ -160,22 +168,23 @@ def fuse(time: DataFrame, keyword: DataFrame, semantic: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "id").agg(F.min("score").alias("score"))
 
 
-def _ready(cands: DataFrame, nodes: DataFrame, queries: DataFrame, matched: DataFrame) -> DataFrame:
+def _ready(cands: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """Candidates that pass the query's filters, with the columns ranking needs.
 
-    ``matched(id, query_id, entity_boost)`` are the nodes that match an entity of the query.
+    Entities are compared on the candidates only: a node is never met by a query that did not find it.
     """
     q = queries.select(
         "query_id", F.col("thread_id").alias("q_thread"), "from_ms", "to_ms", F.col("entities").alias("q_entities"),
         F.col("app_hint").alias("q_app"), "kind_hint",
     )
-    rows = cands.join(nodes, "id").join(q, "query_id").join(matched, ["id", "query_id"], "left")
-    rows = rows.withColumn("entity_boost", F.coalesce("entity_boost", F.lit(0)))
-    wants = F.exists(F.coalesce("q_entities", F.array().cast("array<string>")), lambda e: F.trim(e) != "")
+    rows = cands.join(nodes, "id").join(q, "query_id")
+    named = F.filter(F.transform(F.coalesce("q_entities", F.array().cast("array<string>")), lambda e: F.lower(strip(e))), lambda e: e != "")
+    match = F.exists(named, lambda e: names_match(F.col("entities"), e))
+    rows = rows.withColumn("entity_boost", F.when(match, 1).otherwise(0))
     ok = (
         (F.col("q_thread").isNull() | F.col("thread_id").eqNullSafe(F.col("q_thread")))
         & (F.col("from_ms").isNull() | F.col("ts_ms").between(F.col("from_ms"), F.col("to_ms")))
-        & (~wants | (F.col("entity_boost") == 1))
+        & ((F.size(named) == 0) | (F.col("entity_boost") == 1))
     )
     return rows.filter(ok).withColumn("app_boost", app_boost(F.col("app_hint"), F.col("q_app")))
 
@@ -232,23 +241,27 @@ def rank_search(
     keyword = keyword_search(queries, nodes, links, index, cols)
     matches = knn_exact(queries.filter("embedding IS NOT NULL"), vector_docs, k)
     semantic = nodes_for_vectors(matches, vector_docs, nodes.select("id"))
-    matched = cut(entity_match(nodes, queries).withColumn("entity_boost", F.lit(1)))
     # candidates are few next to the nodes; both rankings and the neighbours start from them
     fused = cut(fuse(time, keyword, semantic))
-    first = cut(rank_results(_ready(fused, nodes, queries, matched)).filter(F.col("rn") <= EXPAND_TOP))
+    first = cut(rank_results(_ready(fused, nodes, queries)).filter(F.col("rn") <= EXPAND_TOP))
     near = expand_neighbors(first, nodes, queries).withColumn("score", F.lit(None).cast("double"))
     merged = fused.unionByName(near.select("query_id", "id", "score")).groupBy("query_id", "id").agg(
         F.min("score").alias("score")
     )
-    return rank_results(_ready(merged, nodes, queries, matched))
+    return rank_results(_ready(merged, nodes, queries))
 
 
 def search(
     queries: DataFrame, nodes: DataFrame, links: DataFrame, captures: DataFrame, index: tuple[DataFrame, DataFrame],
-    vector_docs: DataFrame, cols: list[str],
+    vector_docs: DataFrame, cols: list[str], plans: DataFrame | None = None, canonical: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """The whole search: ranked results, results to show, evidence and the rows to answer from."""
-    ranked = cut(rank_search(queries, nodes, links, index, vector_docs, cols))
+    """The whole search: ranked results, results to show, evidence and the rows to answer from.
+
+    ``plans`` (with ``canonical`` app names) fill gaps of the queries' filters first.  All four frames share
+    one written ranking; evidence is read for its rows only.
+    """
+    asked = cut(merge_filters(queries, plans, canonical) if plans is not None else queries)
+    ranked = cut(rank_search(asked, nodes, links, index, vector_docs, cols))
     return {
         "ranked": ranked,
         "shown": prefer_kind(ranked),

@@ -181,7 +181,7 @@ len AS (SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\p{
 qt AS (SELECT query_id, unnest(list_distinct(ws)) AS term, len(list_distinct(ws)) AS n_terms FROM (SELECT item_id AS query_id,
   list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')[4:5] AS ws FROM benchmark))
 """
-# The whole texts; j6_search still asks for two words of each.
+# All words of the whole texts.
 INDEX_SQL = WORDS_SQL.replace("[4:5]", "")
 
 

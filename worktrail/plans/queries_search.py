@@ -177,35 +177,57 @@ def j7(spark, sf):
 # --- the whole search --------------------------------------------------------------------
 
 
+SHORT = 1_000_000  # added to the id of a short query
+
+
 def search_queries(spark, sf):
-    """One query per benchmark text: two words, a vector, and filters on some."""
+    """Two queries per benchmark text: the whole text with a vector, and two of its words; filters on some."""
     i = F.col("item_id")
+    named = lambda prefix, n: F.concat(F.lit(prefix), (i % n).cast("string"))
     b = v.table(spark, sf, "benchmark").select(
-        i.alias("query_id"), F.array_join(F.slice(tokens("text"), 4, 2), " ").alias("text"),
+        i, F.explode(F.array(F.struct(i.alias("query_id"), F.col("text").alias("text")), F.struct((i + SHORT).alias("query_id"), F.array_join(F.slice(tokens("text"), 4, 2), " ").alias("text")))).alias("x"),
         F.when(i % 2 == 0, F.lit(START) + i % 20 * DAY_MS).alias("from_ms"), F.when(i % 2 == 0, F.lit(START) + (i % 20 + 3) * DAY_MS).alias("to_ms"),
-        F.when(i % 5 == 0, F.concat(F.lit("t"), (i % 40).cast("string"))).alias("thread_id"),
-        F.when(i % 3 == 0, F.array(F.concat(F.lit("ent "), (i % 7).cast("string")))).otherwise(F.array().cast("array<string>")).alias("entities"),
+        F.when(i % 5 == 0, named("t", 40)).alias("thread_id"), F.when(i % 3 == 0, F.array(named("ent ", 7))).otherwise(F.array().cast("array<string>")).alias("entities"),
         F.when(i % 4 == 1, "Click").when(i % 4 == 2, "pur").alias("app_hint"), F.when(i % 2 == 1, "knowledge").alias("kind_hint"),
-    )
+    ).select("x.*", "from_ms", "to_ms", "thread_id", "entities", "app_hint", "kind_hint")
     return b.join(v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
 
 
-def search_inputs(spark, sf):
-    n = cut(spread(v.nodes(spark, sf)).withColumn("kw", F.array_join("keywords", " ")))
-    index = tuple(cut(part) for part in search.build_index(documents(spark, sf)))
-    docs = vector_rows(spark, sf).withColumn("ref_id", F.col("vector_id") * 3)
-    return cut(search_queries(spark, sf)), n, v.links(spark, sf), index, docs
+def search_plans(spark, sf):
+    """What a planner made of each query: sure enough for half of them."""
+    i = F.col("item_id")
+    rows = v.table(spark, sf, "benchmark").select(
+        F.explode(F.array(i, i + SHORT)).alias("query_id"), (i % 10 / 10.0).alias("confidence"), (F.lit(START) + i % 29 * DAY_MS).alias("from_ms"), (F.lit(START) + (i % 29 + 2) * DAY_MS).alias("to_ms"),
+        F.when(i % 2 == 0, "click").otherwise("Unheard").alias("app_hint"), F.array(F.concat(F.lit("proj-"), (i % 4).cast("string"))).alias("entities"),
+    )
+    return rows
 
 
-SEARCH_SQL = v.more("nodes", "links") + (WORDS_SQL + SCORE_SQL).rstrip() + """,
-q AS (SELECT item_id AS query_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')[4:5], ' ') AS text,
- CASE WHEN item_id % 2 = 0 THEN 1704067200000 + item_id % 20 * 86400000 END AS from_ms, CASE WHEN item_id % 2 = 0 THEN 1704067200000 + (item_id % 20 + 3) * 86400000 END AS to_ms,
- CASE WHEN item_id % 5 = 0 THEN 't' || (item_id % 40) END AS q_thread, CASE WHEN item_id % 3 = 0 THEN 'ent ' || (item_id % 7) END AS ent,
- CASE WHEN item_id % 4 = 1 THEN 'click' WHEN item_id % 4 = 2 THEN 'pur' END AS q_app, CASE WHEN item_id % 2 = 1 THEN 'knowledge' END AS kind_hint FROM benchmark),
+def whole_search(spark, sf):
+    """The composed search over all nodes, captures, documents and vectors."""
+    n = cut(spread(v.nodes(spark, sf)).withColumns({"summary": F.col("project_key"), "kw": F.array_join("keywords", " "), "names": F.array_join("entities", " ")}))
+    index = tuple(cut(part) for part in search.build_index(documents(spark, sf)))
+    docs = vector_rows(spark, sf).withColumn("ref_id", F.col("vector_id") * 3)
+    known = v.events(spark, sf).select(F.col("event_type").alias("canonical")).distinct()
+    captures = v.captures(spark, sf).select("id", "ts_ms", "app_hint")
+    return search.search(search_queries(spark, sf), n, v.links(spark, sf), captures, index, docs, ["title", "summary", "kw", "names"], search_plans(spark, sf), known)
+
+
+_TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+_LIKE = " OR ".join(f"lower({c}) LIKE '%' || lower(term) || '%'" for c in ("title", "project_key", "array_to_string(keywords, ' ')", "array_to_string(entities, ' ')"))
+SEARCH_SQL = v.more("nodes", "links", "captures") + WORDS_SQL[: WORDS_SQL.index("qt AS")] + f"""qb AS (SELECT item_id AS i, item_id AS query_id, text FROM benchmark UNION ALL SELECT item_id, item_id + {SHORT}, array_to_string({_TOKENS}[4:5], ' ') FROM benchmark),
+qt AS (SELECT query_id, unnest(list_distinct(ws)) AS term, len(list_distinct(ws)) AS n_terms FROM (SELECT query_id, {_TOKENS} AS ws FROM qb))
+""" + SCORE_SQL.rstrip() + f""",
+qu AS (SELECT *, i % 10 >= 5 AS use, CASE WHEN i % 2 = 0 THEN {START} + i % 20 * 86400000 END AS f0, CASE WHEN i % 2 = 0 THEN {START} + (i % 20 + 3) * 86400000 END AS t0,
+ CASE WHEN i % 4 = 1 THEN 'click' WHEN i % 4 = 2 THEN 'pur' END AS a0, CASE WHEN i % 2 = 0 THEN 'click' END AS a1, CASE WHEN i % 3 = 0 THEN ['ent ' || (i % 7)] ELSE [] END AS e0 FROM qb),
+q AS (SELECT query_id, trim(text) AS text, CASE WHEN use AND f0 IS NULL THEN {START} + i % 29 * 86400000 ELSE f0 END AS from_ms, CASE WHEN use AND t0 IS NULL THEN {START} + (i % 29 + 2) * 86400000 ELSE t0 END AS to_ms,
+ CASE WHEN i % 5 = 0 THEN 't' || (i % 40) END AS q_thread, CASE WHEN use THEN list_concat(e0, ['proj-' || (i % 4)]) ELSE e0 END AS ents, CASE WHEN use THEN coalesce(a0, a1) ELSE a0 END AS q_app,
+ CASE WHEN i % 2 = 1 THEN 'knowledge' END AS kind_hint FROM qu),
 tr AS (SELECT query_id, id FROM q JOIN nodes ON ts_ms BETWEEN from_ms AND to_ms AND (q_thread IS NULL OR thread_id = q_thread)
  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ts_ms DESC, id DESC) <= 2000),
-trm AS (SELECT DISTINCT query_id, unnest(list_concat([text], list_filter(string_split(text, ' '), lambda x: length(x) > 1), CASE WHEN ent IS NULL THEN [] ELSE [ent] END)) AS term FROM q),
-dir AS (SELECT query_id, id FROM trm JOIN q USING (query_id) JOIN nodes ON (lower(title) LIKE '%' || lower(term) || '%' OR lower(array_to_string(keywords, ' ')) LIKE '%' || lower(term) || '%')
+trl AS (SELECT query_id, list_concat([text], list_filter(regexp_split_to_array(text, '\s+'), lambda x: length(x) > 1), ents) AS l FROM q),
+trm AS (SELECT DISTINCT query_id, unnest(list_filter(l, lambda x, j: x <> '' AND list_position(l, x) = j)[1:8]) AS term FROM trl),
+dir AS (SELECT query_id, id FROM trm JOIN q USING (query_id) JOIN nodes ON ({_LIKE})
  WHERE term <> '' AND (from_ms IS NULL OR ts_ms BETWEEN from_ms AND to_ms) AND (q_thread IS NULL OR thread_id = q_thread) GROUP BY query_id, id, ts_ms
  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ts_ms DESC, id DESC) <= 30),
 bt AS (SELECT query_id, doc_id FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 30),
@@ -219,23 +241,50 @@ fus AS (SELECT query_id, id, min(score) AS score FROM (SELECT query_id, id, NULL
 
 
 def _ready_sql(cand: str, out: str) -> str:
-    return f"""{out}_r AS (SELECT c.query_id, c.id, c.score, n.thread_id, n.ts_ms, n.app_hint, n.importance, n.issue, n.kind, q_thread, kind_hint, ent,
-  CASE WHEN ent IS NOT NULL AND (contains(lower(entities[1]), ent) OR contains(lower(entities[2]), ent)) THEN 1 ELSE 0 END AS entity_boost,
+    return f"""{out}_r AS (SELECT c.query_id, c.id, c.score, n.thread_id, n.ts_ms, n.app_hint, n.importance, n.issue, n.kind, q_thread, kind_hint, ents,
+  CASE WHEN len(list_filter(ents, lambda e: contains(lower(entities[1]), e) OR contains(lower(entities[2]), e))) > 0 THEN 1 ELSE 0 END AS entity_boost,
   CASE WHEN q_app IS NULL THEN 0 WHEN q_app = n.app_hint THEN 1 WHEN contains(n.app_hint, q_app) OR contains(q_app, n.app_hint) THEN 0.5 ELSE 0 END AS app_boost
   FROM {cand} c JOIN nodes n USING (id) JOIN q USING (query_id) WHERE (q_thread IS NULL OR n.thread_id = q_thread) AND (from_ms IS NULL OR n.ts_ms BETWEEN from_ms AND to_ms)),
 {out} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY issue DESC, entity_boost DESC, app_boost DESC, (score IS NOT NULL) DESC,
-  score * (1.2::DOUBLE - importance / 10) ASC NULLS FIRST, ts_ms DESC, id) AS rn FROM {out}_r WHERE ent IS NULL OR entity_boost = 1)"""
+  score * (1.2::DOUBLE - importance / 10) ASC NULLS FIRST, ts_ms DESC, id) AS rn FROM {out}_r WHERE len(ents) = 0 OR entity_boost = 1)"""
 
 
-@query(
-    "j6_search",
+WHOLE_SQL = (
     SEARCH_SQL + _ready_sql("fus", "first") + ",\nbest AS (SELECT * FROM first WHERE rn <= 5),\n" + NEIGHBORS_SQL
     + ",\nmrg AS (SELECT query_id, id, min(score) AS score FROM (SELECT * FROM fus UNION ALL SELECT query_id, id, NULL FROM near) GROUP BY 1, 2),\n"
-    + _ready_sql("mrg", "final") + "\nSELECT query_id, id, rn FROM final",
+    + _ready_sql("mrg", "final")
 )
+
+
+@query("j6_search", WHOLE_SQL + "\nSELECT query_id, id, rn FROM final")
 def j6(spark, sf):
-    q, n, links, index, vec = search_inputs(spark, sf)
-    return search.rank_search(q, n, links, index, vec, ["title", "kw"]).select("query_id", "id", "rn")
+    return whole_search(spark, sf)["ranked"].select("query_id", "id", "rn")
+
+
+@query(
+    "j6_search_shown",
+    WHOLE_SQL + """,
+m AS (SELECT query_id, id, rn, kind, kind_hint, count(*) FILTER (kind = kind_hint) OVER (PARTITION BY query_id) AS hits FROM final)
+SELECT query_id, id, rn FROM m WHERE hits = 0 OR kind = kind_hint""",
+)
+def j6_shown(spark, sf):
+    return whole_search(spark, sf)["shown"].select("query_id", "id", "rn")
+
+
+@query(
+    "j6_search_evidence",
+    WHOLE_SQL + """,
+pr AS (SELECT query_id, screenshot_id, count(*) AS node_count FROM final JOIN (SELECT DISTINCT * FROM links) ON node_id = id GROUP BY 1, 2)
+SELECT query_id, screenshot_id, node_count, c.ts_ms, c.app_hint FROM pr JOIN captures c ON c.id = screenshot_id""",
+)
+def j6_evidence(spark, sf):
+    return whole_search(spark, sf)["evidence"]
+
+
+@query("j6_search_answer")
+def j6_answer(spark, sf):
+    """The rows to answer from; their stages have no SQL (``f9_select_for_answer`` is tested on its own)."""
+    return whole_search(spark, sf)["answer"]
 
 
 @query(
