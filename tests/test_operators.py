@@ -541,3 +541,35 @@ def test_retention_counts_each_path_once(spark):
     df = spark.createDataFrame([("a.png", "/x/a.png", 5), ("a.png", "/y/a.png", 5), ("b.png", "/x/b.png", 9)], "name string, path string, mtime_ms long")
     got = rows(ranking.retention_plan(df, 10, max_count=2, max_age_ms=100), "path", "delete")
     assert got == [("/x/a.png", True), ("/x/b.png", False), ("/y/a.png", False)]
+
+
+def test_time_recall_takes_newest_cells(spark):
+    """Ranges against all rows, with a burst in one millisecond, ties, ranges beyond the data and empty ones."""
+    import random
+
+    from worktrail.operators.search import time_recall
+
+    rnd, hour = random.Random(11), 3_600_000
+    rows = [(i, rnd.choice([rnd.randrange(40 * hour), 7 * hour + 5]), rnd.choice(["a", "b", None])) for i in range(600)]
+    nodes = spark.createDataFrame(rows, "id long, ts_ms long, thread_id string")
+    asked = [(q, rnd.randrange(-5, 40) * hour, rnd.randrange(0, 60) * hour, rnd.choice(["a", "x", None])) for q in range(40)]
+    asked += [(90, -(10**15), 10**15, None), (91, 7 * hour + 5, 7 * hour + 5, "a"), (92, None, 5, None)]
+    queries = spark.createDataFrame(asked, "query_id long, from_ms long, to_ms long, thread_id string")
+    for limit in (1, 25, 1000):
+        want = set()
+        for q, lo, hi, th in asked:
+            if lo is not None:
+                fit = sorted(((t, i) for i, t, x in rows if lo <= t <= hi and th in (None, x)), reverse=True)
+                want |= {(q, i) for _, i in fit[:limit]}
+        got = [(r.query_id, r.id) for r in time_recall(nodes, queries, limit).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert time_recall(nodes.limit(0), queries).collect() == []
+
+
+def test_keyword_hits_of_repeated_values_are_the_same(spark):
+    from worktrail.operators.filters import keyword_hits
+
+    nodes = spark.createDataFrame([(1, "Mail 5", None), (2, "mail 5", "Ent a"), (3, "other", "ent_a"), (4, "", "x")], "id long, title string, names string")
+    terms = spark.createDataFrame([(1, "MAIL"), (2, "nt_a"), (3, "zz"), (4, ""), (5, "5")], "query_id long, term string")
+    both = [sorted(map(tuple, keyword_hits(nodes, "id", ["title", "names"], terms, repeated=r).collect())) for r in (False, True)]
+    assert both[0] == both[1] == [(1, 1), (1, 5), (2, 1), (2, 2), (2, 5), (3, 2)]

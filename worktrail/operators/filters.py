@@ -87,15 +87,21 @@ def entity_match(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def keyword_hits(nodes: DataFrame, node_id: str, cols: Sequence[str], terms: DataFrame) -> DataFrame:
+def keyword_hits(nodes: DataFrame, node_id: str, cols: Sequence[str], terms: DataFrame, repeated: bool = False) -> DataFrame:
     """Pairs ``(node_id, query_id)``: any term of the query is LIKE-contained in any of the columns.
 
-    ``terms`` has ``query_id`` and ``term``; ``%`` and ``_`` in a term stay wildcards.
+    ``terms`` has ``query_id`` and ``term``; ``%`` and ``_`` in a term stay wildcards.  With ``repeated`` (columns of
+    labels, whose values recur) each distinct value is searched once and brings its queries to its nodes.
     """
     folded = terms.select("query_id", ascii_lower(F.col("term")).alias("term")).filter("term <> ''").distinct()
     distinct = folded.select("term").distinct().select(F.col("term").alias("tid"), "term")
     columns = F.array(*[ascii_lower(F.col(c)) for c in cols])
     texts = nodes.select(F.col(node_id), F.posexplode(columns).alias("__pos", "__text")).filter("__text IS NOT NULL")
+    if repeated:
+        values = texts.select(F.col("__text").alias("__value")).distinct().withColumn("__text", F.col("__value"))
+        pairs = substring_join(values, "__value", "__text", distinct, "tid", "term", wildcards=True)
+        asked = pairs.join(folded, F.col("tid") == F.col("term")).select(F.col("__value").alias("__text"), "query_id").distinct()
+        return texts.join(asked, "__text").select(node_id, "query_id").distinct()
     cells = texts.select(F.struct(node_id, "__pos").alias("__cell"), "__text")
     pairs = substring_join(cells, "__cell", "__text", distinct, "tid", "term", wildcards=True)
     pairs = pairs.select(F.col(f"__cell.{node_id}").alias(node_id), "tid").distinct()

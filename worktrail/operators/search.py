@@ -216,7 +216,7 @@ def keyword_search(
     ``links(node_id, screenshot_id)``.
     """
     terms = queries.select("query_id", F.explode(keyword_terms("text", F.col("entities"))).alias("term"))
-    direct = keyword_hits(nodes, "id", cols, terms).join(nodes.select("id", "ts_ms", "thread_id"), "id")
+    direct = keyword_hits(nodes, "id", cols, terms, repeated=True).join(nodes.select("id", "ts_ms", "thread_id"), "id")
     scope = queries.select("query_id", "from_ms", "to_ms", F.col("thread_id").alias("q_thread"))
     direct = direct.join(scope, "query_id").filter(
         (F.col("from_ms").isNull() | F.col("ts_ms").between(F.col("from_ms"), F.col("to_ms")))

@@ -225,7 +225,7 @@ q AS (SELECT query_id, trim(text) AS text, CASE WHEN use AND f0 IS NULL THEN {ST
  CASE WHEN i % 2 = 1 THEN 'knowledge' END AS kind_hint FROM qu),
 tr AS (SELECT query_id, id FROM q JOIN nodes ON ts_ms BETWEEN from_ms AND to_ms AND (q_thread IS NULL OR thread_id = q_thread)
  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ts_ms DESC, id DESC) <= 2000),
-trl AS (SELECT query_id, list_concat([text], list_filter(regexp_split_to_array(text, '\s+'), lambda x: length(x) > 1), ents) AS l FROM q),
+trl AS (SELECT query_id, list_concat([text], list_filter(regexp_split_to_array(text, '\\s+'), lambda x: length(x) > 1), ents) AS l FROM q),
 trm AS (SELECT DISTINCT query_id, unnest(list_filter(l, lambda x, j: x <> '' AND list_position(l, x) = j)[1:8]) AS term FROM trl),
 dir AS (SELECT query_id, id FROM trm JOIN q USING (query_id) JOIN nodes ON ({_LIKE})
  WHERE term <> '' AND (from_ms IS NULL OR ts_ms BETWEEN from_ms AND to_ms) AND (q_thread IS NULL OR thread_id = q_thread) GROUP BY query_id, id, ts_ms
