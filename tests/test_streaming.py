@@ -39,22 +39,38 @@ def finish(q):
 
 
 def test_dedup_stream(spark, feed, tmp_path):
-    finish(folds.dedup_stream(stream(spark, feed), str(tmp_path), "source_key", "phash", 2, delay_ms=10_000, flush=True))
-    out = snapshots.read_all(spark, str(tmp_path), "out")
+    fold = folds.dedup_fold(stream(spark, feed), str(tmp_path), "source_key", "phash", 2, delay_ms=10_000)
+    finish(fold.start(flush=True))
     waiting = spark.read.parquet(str(tmp_path / "pending" / "v=5")).count()
     batch = sequential.dedup_flags(captures(spark), "source_key", "phash", 2).select("id", "kept")
     want = {r["id"]: r["kept"] for r in batch.collect()}
-    got = {r["id"]: r["kept"] for r in out.collect()}
-    assert len(got) + waiting == 600 and waiting < 10
+    got = {r["id"]: r["kept"] for r in snapshots.read_all(spark, str(tmp_path), "out").collect()}
+    assert len(got) + waiting == 600 and 0 < waiting < 10
     assert all(want[i] == k for i, k in got.items())
+    for _ in range(2):  # a second drain has nothing to do
+        fold.drain()
+        assert {r["id"]: r["kept"] for r in snapshots.read_all(spark, str(tmp_path), "out").collect()} == want
 
 
 def test_batch_stream(spark, feed, tmp_path):
-    finish(folds.batch_stream(stream(spark, feed), str(tmp_path), "source_key", 3, 30_000, delay_ms=10_000, flush=True))
-    out = snapshots.read_all(spark, str(tmp_path), "out")
+    fold = folds.batch_fold(stream(spark, feed), str(tmp_path), "source_key", 3, 30_000, delay_ms=10_000)
+    finish(fold.start(flush=True))
+    fold.drain()
     want = {r["id"]: r["first_id"] for r in sequential.micro_batch(captures(spark), "source_key", 3, 30_000).collect()}
-    got = {r["id"]: r["first_id"] for r in out.collect()}
-    assert len(got) > 590 and all(want[i] == f for i, f in got.items())
+    assert {r["id"]: r["first_id"] for r in snapshots.read_all(spark, str(tmp_path), "out").collect()} == want
+
+
+def test_rows_without_a_time_are_late_and_lost_state_is_an_error(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", None, None, 5), (2, "a", None, 10, 5), (3, "a", None, 20, 5)], SCHEMA)
+    rows.coalesce(1).write.json(str(tmp_path / "in"))
+    path = str(tmp_path / "state")
+    fold = folds.dedup_fold(stream(spark, str(tmp_path / "in")), path, "source_key", "phash", 2)
+    finish(fold.start(flush=True))
+    fold.drain()
+    assert [r.id for r in snapshots.read_all(spark, path, "late").collect()] == [1]
+    assert sorted(r.id for r in snapshots.read_all(spark, path, "out").collect()) == [2, 3]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        snapshots.read_version(spark, path, "seeds", 99, spark.read.parquet(f"{path}/seeds").schema).count()
 
 
 def test_window_counts_and_table(spark, feed, tmp_path):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -16,13 +15,16 @@ def write_version(df: DataFrame, path: str, name: str, batch: int) -> None:
 
 
 def read_version(spark: SparkSession, path: str, name: str, batch: int, schema: T.StructType) -> DataFrame:
-    """The snapshot that batch ``batch`` left behind; empty before the first."""
-    if batch < 0:
-        return empty(spark, schema)
-    try:
-        return spark.read.schema(schema).parquet(f"{path}/{name}/v={batch}")
-    except AnalysisException:
-        return empty(spark, schema)
+    """The snapshot that batch ``batch`` left behind; empty before the first.
+
+    A snapshot that should be there and is not is an error: state is never begun anew in silence.
+    """
+    return empty(spark, schema) if batch < 0 else spark.read.schema(schema).parquet(f"{path}/{name}/v={batch}")
+
+
+def last_version(spark: SparkSession, path: str, name: str) -> int:
+    """The number of the latest batch that wrote the table."""
+    return spark.read.parquet(f"{path}/{name}").agg({"v": "max"}).first()[0]
 
 
 def read_all(spark: SparkSession, path: str, name: str) -> DataFrame:
