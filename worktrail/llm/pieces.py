@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 from worktrail.llm.words import BLANK, SPACE, Words, words
 
 # Distinct pieces that a worker keeps, and their bytes (about 150 more each); beyond it, it starts again with none.
-KEPT_PIECES = 500_000
-KEPT_BYTES = 64 << 20
+KEPT_PIECES = 300_000
+KEPT_BYTES = 32 << 20
 # White space beyond ASCII, with the controls that some libraries count as such.
 _WIDE = "\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 # A space before more white space or at the end, or what may be a special string.
