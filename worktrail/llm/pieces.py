@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 from worktrail.llm.words import BLANK, SPACE, Words, words
 
-# Distinct pieces that a worker keeps, and their bytes (about 150 more each); beyond it, it starts again with none.
+# Distinct pieces of a generation, and their bytes (about 150 more each); beyond it a worker begins the next, and keeps two.
 KEPT_PIECES = 300_000
 KEPT_BYTES = 32 << 20
 # White space beyond ASCII, with the controls that some libraries count as such.
@@ -59,6 +59,8 @@ class PieceIds:
         self._clear()
 
     def _clear(self) -> None:
+        """Begin a new generation; pieces of the last one come over when they are met again."""
+        self.before = getattr(self, "place", {}), *(getattr(self, x, None) for x in ("at", "size", "flat"))
         self.place: dict[bytes, int] = {}
         self.at = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
@@ -74,14 +76,18 @@ class PieceIds:
         return into
 
     def _learn(self, pieces: list[bytes]) -> None:
-        ids = self.encode([p.decode() for p in pieces])
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        place, at, size, flat = self.before
+        new = [p for p in pieces if p not in place]
+        made = dict(zip(new, self.encode([p.decode() for p in new]), strict=True)) if new else {}
+        old = lambda k: flat[at[k] : at[k] + size[k]]
+        ids = [made[p] if p in made else old(place[p]) for p in pieces]
+        each = np.fromiter(map(len, ids), np.int64, len(ids))
         n = len(self.place)
         self.place.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-        self.at = self._put(self.at, n, self.used + np.cumsum(size) - size)
-        self.size = self._put(self.size, n, size)
+        self.at = self._put(self.at, n, self.used + np.cumsum(each) - each)
+        self.size = self._put(self.size, n, each)
         self.flat = self._put(self.flat, self.used, np.concatenate(ids))
-        self.used += int(size.sum())
+        self.used += int(each.sum())
         self.held += sum(map(len, pieces))
 
     def of(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
