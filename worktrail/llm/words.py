@@ -109,13 +109,21 @@ def words(texts: pa.Array, kind: str = SPACE, lower: bool = False) -> Words:
 def runs(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of ``k`` consecutive words from each word on, and whether they lie within one text.
 
-    Each step scrambles what came before, so that the hash is no polynomial in those of the words.
+    Runs of doubled length are made from two neighbours, and ``k`` words from runs of powers of two.  Each step
+    scrambles, so that the hash is no polynomial in those of the words.
     """
     n = len(w.hash)
-    out = np.full(n, k, np.uint64)
+    out = np.zeros(n, np.uint64)
     if n >= k:
-        part = out[: n - k + 1]
-        for j in range(k):
-            part[:] = mix(part * _STEP + w.hash[j : n - k + 1 + j])
+        joined = lambda left, right: mix(left * _STEP + right)
+        run, size, whole, length = w.hash, 1, None, 0
+        while True:
+            if k & size:  # the lowest places first: shorter runs stand at the front
+                whole = run if whole is None else joined(whole[: n - length - size + 1], run[length : n - size + 1])
+                length += size
+            if 2 * size > k:
+                break
+            run, size = joined(run[: n - 2 * size + 1], run[size:]), 2 * size
+        out[: n - k + 1] = whole
     doc_end = np.repeat(w.first[1:], np.diff(w.first))
     return out, np.arange(n) + k <= doc_end
