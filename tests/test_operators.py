@@ -573,3 +573,54 @@ def test_keyword_hits_of_repeated_values_are_the_same(spark):
     terms = spark.createDataFrame([(1, "MAIL"), (2, "nt_a"), (3, "zz"), (4, ""), (5, "5")], "query_id long, term string")
     both = [sorted(map(tuple, keyword_hits(nodes, "id", ["title", "names"], terms, repeated=r).collect())) for r in (False, True)]
     assert both[0] == both[1] == [(1, 1), (1, 5), (2, 1), (2, 2), (2, 5), (3, 2)]
+
+
+# --- time ranges on the stored column ----------------------------------------------------
+
+
+def scan_of(df):
+    """The lines of the formatted plan that say what the scan skips and reads."""
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return "\n".join(line for line in plan.splitlines() if line.startswith(("PushedFilters", "PartitionFilters", "ReadSchema")))
+
+
+def test_time_ranges_reach_the_scan(spark):
+    from worktrail.plans import views as v
+    from worktrail.operators import aggregates, lifecycle, ranking
+
+    sf, lo, hi = "/root/testdata/sf0.001", 1_704_153_600_000, 1_705_363_200_000
+    u = v.usage(spark, sf)
+    ranged = [
+        filters.within(v.nodes(spark, sf), lo, hi), aggregates.usage_summary(u, lo, hi, "c1"), aggregates.usage_by_model(u, lo, hi),
+        aggregates.usage_daily(u, lo, hi), aggregates.error_rate(u, hi, {"day": 86_400_000}), aggregates.top_errors(u, hi),
+        ranking.recent_errors(u, hi), lifecycle.pull_since(u, lo)[0],
+    ]
+    for df in ranged:
+        assert "GreaterThanOrEqual(ts," in scan_of(df), scan_of(df)
+    old = filters.retention_candidates(v.captures(spark, sf), spark.createDataFrame([(1, "succeeded")], "batch_id long, vlm_status string"), hi)
+    assert "LessThan(ts," in scan_of(old)
+
+
+def test_within_equals_comparison_of_milliseconds(spark):
+    at = [None, 999, 1000, 1001, 1500, 1999, 2000, 2001, -1]
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate(at)], "id long, ts_ms long")
+    # half a millisecond on top: the milliseconds are the floor of the stored time
+    rows = rows.withColumn("ts", F.timestamp_micros(F.col("ts_ms") * 1000 + 500))
+    for lo, hi in ((1000, 2000), (None, 1500), (1001, None), (-1, -1), (2000, 1000), (None, None)):
+        for closed in (True, False):
+            inside = lambda m: (lo is None or m >= lo) and (hi is None or (m <= hi if closed else m < hi))
+            bound = lo is not None or hi is not None
+            want = {i for i, m in enumerate(at) if (inside(m) if m is not None else not bound)}
+            assert {r.id for r in filters.within(rows, lo, hi, closed=closed).collect()} == want
+            assert {r.id for r in filters.within(rows.drop("ts"), lo, hi, closed=closed).collect()} == want
+
+
+def test_scan_reads_wall_clock_times_without_a_cast(spark, tmp_path):
+    from worktrail.sources.tables import scan
+
+    path = str(tmp_path / "t.parquet")
+    spark.sql("SELECT id, timestamp_ntz'2024-01-02 03:04:05.678' + make_dt_interval(id) AS ts FROM range(3)").write.parquet(path)
+    df = scan(spark, path)
+    assert dict(df.dtypes)["ts"] == "timestamp"
+    assert [r.ms for r in df.orderBy("id").select(F.unix_millis("ts").alias("ms")).collect()] == [1704164645678 + i * 86_400_000 for i in range(3)]
+    assert df.filter(F.col("ts") >= F.timestamp_millis(F.lit(1704164645679))).count() == 2

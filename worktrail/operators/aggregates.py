@@ -11,6 +11,7 @@ from worktrail.functions.keys import health_level
 from worktrail.functions.normalize import real_app_hint
 from worktrail.functions.text import strip
 from worktrail.operators.blocks import HOUR_MS, running, time_block, top_n
+from worktrail.operators.filters import within
 
 # Fixed values.
 GAP_MS = 10 * 60_000
@@ -52,7 +53,7 @@ def total_backlog(status: DataFrame, warning: int = BACKLOG_WARNING, critical: i
 
 
 def _usage(usage: DataFrame, lo: int, hi: int, config_hash: str | None) -> DataFrame:
-    kept = usage.filter(F.col("ts_ms").between(lo, hi))
+    kept = within(usage, lo, hi)
     return kept if config_hash is None else kept.filter(F.col("config_hash") == config_hash)
 
 
@@ -99,7 +100,7 @@ def usage_rollup(usage: DataFrame, tz: str = "UTC") -> DataFrame:
 def error_rate(usage: DataFrame, now_ms: int, widths: dict[str, int], capabilities: Sequence[str] = tuple(CAPABILITIES)) -> DataFrame:
     """Failures per capability in trailing windows that end now; every capability has a column."""
     widest = max(widths.values())
-    failed = usage.filter((F.col("status") == "failed") & (F.col("ts_ms") >= now_ms - widest) & (F.col("ts_ms") <= now_ms))
+    failed = within(usage, now_ms - widest, now_ms).filter("status = 'failed'")
     return failed.agg(
         *[
             F.count_if((F.col("ts_ms") >= now_ms - w) & (F.col("capability") == c)).alias(f"{name}_{c}")
@@ -112,7 +113,8 @@ def error_rate(usage: DataFrame, now_ms: int, widths: dict[str, int], capabiliti
 def top_errors(usage: DataFrame, now_ms: int, n: int = 10, width_ms: int = HOUR_MS) -> DataFrame:
     """Most frequent error codes of the last hour; no code counts as ``unknown``."""
     return (
-        usage.filter((F.col("status") == "failed") & (F.col("ts_ms") >= now_ms - width_ms) & (F.col("ts_ms") <= now_ms))
+        within(usage, now_ms - width_ms, now_ms)
+        .filter("status = 'failed'")
         .groupBy(F.coalesce("error_code", F.lit("unknown")).alias("error_code"))
         .agg(F.count("*").alias("n"))
         .orderBy(F.col("n").desc(), "error_code")

@@ -45,6 +45,26 @@ def in_window(ts: str | Column, lo: Column, hi: Column) -> Column:
     return (_c(ts) >= lo) & (_c(ts) < hi)
 
 
+def within(
+    df: DataFrame, lo: int | None = None, hi: int | None = None, ts_ms: str = "ts_ms", ts: str = "ts", closed: bool = True
+) -> DataFrame:
+    """Rows whose milliseconds lie in a range; ``hi`` counts as inside if ``closed``, and either end may be open.
+
+    Where the table also stores the time itself (``ts``, of which ``ts_ms`` is the millisecond), the same
+    bounds are put on that column too: a scan can skip files, row groups and days by it, but not by an expression.
+    Rows without a time go, as in any comparison.
+    """
+    end = hi + 1 if hi is not None and closed else hi
+    for c, at in ((ts_ms, lambda ms: F.lit(ms)), (ts, lambda ms: F.timestamp_millis(F.lit(ms)))):
+        if c not in df.columns:
+            continue
+        if lo is not None:
+            df = df.filter(F.col(c) >= at(lo))
+        if end is not None:
+            df = df.filter(F.col(c) < at(end))
+    return df
+
+
 def overlaps(start: Column, end: Column, lo: Column, hi: Column, closed: bool) -> Column:
     """Interval overlap: touching ends count for timeline windows, not for events."""
     return (start <= hi) & (end >= lo) if closed else (start < hi) & (end > lo)
@@ -159,9 +179,8 @@ def needs_ocr(knowledge: Column, language: Column, file_path: Column, storage_st
 
 def retention_candidates(captures: DataFrame, batches: DataFrame, now_ms: int, age_ms: int = RETENTION_MS) -> DataFrame:
     """Captures whose file may go: ephemeral, old, still there, fully processed."""
-    old = captures.filter(
+    old = within(captures, hi=now_ms - age_ms, closed=False).filter(
         (F.col("storage_state") == "ephemeral")
-        & (F.col("ts_ms") < now_ms - age_ms)
         & F.col("file_path").isNotNull()
         & (F.col("ocr_status").isNull() | F.col("ocr_status").isin(OCR_DONE))
     )

@@ -10,7 +10,7 @@ from worktrail.functions.normalize import long_event_kind
 from worktrail.functions.text import marker_title
 from worktrail.operators.aggregates import ordered_list, vector_dims
 from worktrail.operators.blocks import HOUR_MS, time_block, top_n
-from worktrail.operators.filters import capture_allowed, eligible
+from worktrail.operators.filters import capture_allowed, eligible, within
 from worktrail.operators.ranking import gap_sessions
 from worktrail.operators.sequential import changes_only
 
@@ -136,9 +136,12 @@ def needs_refresh(threads: DataFrame, last_state: DataFrame, forced: DataFrame |
     return joined.filter(grown).drop("__n", "__t")
 
 
-def pull_since(df: DataFrame, mark: int, ts_ms: str = "ts_ms") -> tuple[DataFrame, DataFrame]:
-    """Rows after the high-water mark, and the new mark as a one-row frame."""
-    fresh = df.filter(F.col(ts_ms) > mark)
+def pull_since(df: DataFrame, mark: int, ts_ms: str = "ts_ms", ts: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """Rows after the high-water mark, and the new mark as a one-row frame.
+
+    Files that hold only older rows are skipped where the table stores ``ts``.
+    """
+    fresh = within(df, mark + 1, ts_ms=ts_ms, ts=ts)
     return fresh, fresh.agg(F.coalesce(F.max(ts_ms), F.lit(mark)).alias("mark"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from worktrail.operators.blocks import (
     CARRY, DAY_MS, HOUR_MS, busy_block, busy_keys, lag_in_blocks, running, time_block, top_n, with_carry,
 )
-from worktrail.operators.filters import drop_system_windows
+from worktrail.operators.filters import drop_system_windows, within
 
 # Fixed values.
 MAX_CANDIDATES, FALLBACK_CANDIDATES, LENS_THREADS = 3, 1, 6
@@ -263,7 +263,7 @@ def timeline(summaries: DataFrame, events: DataFrame, lo: int, hi: int) -> DataF
 
 def recent_errors(usage: DataFrame, now_ms: int, limit: int = 50, width_ms: int = HOUR_MS) -> DataFrame:
     """Newest failures of the last hour, returned oldest first."""
-    failed = usage.filter((F.col("status") == "failed") & (F.col("ts_ms") >= now_ms - width_ms) & (F.col("ts_ms") <= now_ms))
+    failed = within(usage, now_ms - width_ms, now_ms).filter("status = 'failed'")
     return failed.orderBy(F.col("ts_ms").desc(), F.col("id").desc()).limit(limit).orderBy("ts_ms", "id")
 
 

@@ -9,7 +9,7 @@ from worktrail.functions.normalize import cap
 from worktrail.functions.text import ellipsis, keyword_terms, strip, tokens
 from worktrail.operators.aggregates import result_summary
 from worktrail.operators.blocks import DAY_MS, HOUR_MS, time_block, top_n
-from worktrail.operators.filters import keyword_hits, names_match, prefer_kind
+from worktrail.operators.filters import keyword_hits, names_match, prefer_kind, within
 from worktrail.operators.joins import band_join, evidence, nearest_k, nodes_for_hits, nodes_for_vectors
 from worktrail.operators.ranking import app_boost, order_evidence, rank_results, select_for_answer
 from worktrail.operators.sets import merge_entities
@@ -105,6 +105,9 @@ def time_recall(nodes: DataFrame, queries: DataFrame, limit: int = TIME_LIMIT, c
     whole ones among them hold ``limit`` nodes, and meets the nodes of these cells only.
     """
     asked = queries.filter("from_ms IS NOT NULL AND to_ms IS NOT NULL")
+    # the span of all ranges bounds the scan
+    earliest, latest = asked.agg(F.min("from_ms"), F.max("to_ms")).first()
+    nodes = within(nodes, earliest, latest)
 
     def look_up(part: DataFrame, pool: DataFrame, keys: list[str]) -> DataFrame:
         celled = pool.select(*keys, "id", "ts_ms", time_block("ts_ms", cell_ms).alias("__cell"))

@@ -60,12 +60,12 @@ def g7(spark, sf):
 
 @query("c3a_in_range", v.cte("nodes") + f"SELECT id FROM nodes WHERE ts_ms BETWEEN {LO} AND {HI}")
 def c3a(spark, sf):
-    return v.nodes(spark, sf).filter(flt.in_range("ts_ms", F.lit(LO), F.lit(HI))).select("id")
+    return flt.within(v.nodes(spark, sf), LO, HI).select("id")
 
 
 @query("c3b_in_window", v.cte("nodes") + f"SELECT id FROM nodes WHERE ts_ms >= {LO} AND ts_ms < {HI}")
 def c3b(spark, sf):
-    return v.nodes(spark, sf).filter(flt.in_window("ts_ms", F.lit(LO), F.lit(HI))).select("id")
+    return flt.within(v.nodes(spark, sf), LO, HI, closed=False).select("id")
 
 
 @query(

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktrail.session import prepare, spread
+from worktrail.sources.tables import scan
 
 # Tables whose rows are long texts: the work per row outweighs dealing the rows out.
 TEXTS = {"documents", "pages"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = prepare(spark).read.parquet(f"{sf}/{name}.parquet")
+    df = scan(prepare(spark), f"{sf}/{name}.parquet")
     return spread(df) if name in TEXTS else df
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, TimestampNTZType, TimestampType
 
 from worktrail.schemas import ENUMS, TABLES
 
@@ -16,6 +17,18 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{path}/{name}")
 
 
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet files whose wall-clock times are read as times of the session's zone.
+
+    The column is stored as asked for, without a cast above the scan, so that filters on it reach the files.
+    """
+    found = spark.read.parquet(path)
+    if not any(isinstance(f.dataType, TimestampNTZType) for f in found.schema):
+        return found
+    zoned = lambda f: StructField(f.name, TimestampType(), f.nullable) if isinstance(f.dataType, TimestampNTZType) else f
+    return spark.read.schema(StructType([zoned(f) for f in found.schema])).parquet(path)
+
+
 def write_table(df: DataFrame, path: str, name: str, mode: str = "overwrite") -> None:
     """Write a table; tables with an event time are laid out by day and sorted inside files."""
     ts = DAY_OF.get(name)
