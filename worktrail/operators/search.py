@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worktrail.functions.normalize import cap
-from worktrail.functions.text import ellipsis, keyword_terms, strip, tokens
+from worktrail.functions.text import ellipsis, fts_terms, keyword_terms, strip, tokens
 from worktrail.operators.aggregates import result_summary
 from worktrail.operators.blocks import DAY_MS, HOUR_MS, time_block, top_n
 from worktrail.operators.filters import keyword_hits, names_match, prefer_kind, within
@@ -31,49 +31,102 @@ def build_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return postings, lengths
 
 
+def build_positions(docs: DataFrame) -> DataFrame:
+    """Postings with places, ``(term, doc_id, positions)``: where each word of a document stands, from 0.
+
+    One row per word and document; a null or empty text has none.  ``doc_id`` is a key.
+    """
+    words = docs.select("doc_id", F.posexplode(tokens("text")).alias("pos", "term"))
+    return words.groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """Distinct terms ``(query_id, term, n_terms)`` of ``queries(query_id, text)``."""
     terms = queries.select("query_id", F.array_distinct(tokens("text")).alias("t"))
     return terms.select("query_id", F.explode("t").alias("term"), F.size("t").alias("n_terms"))
 
 
+def query_phrases(queries: DataFrame) -> DataFrame:
+    """Distinct phrases ``(query_id, term, n_terms)``: the words of each cleaned query term, joined by a space.
+
+    A term that breaks into several words, such as a hyphenated one, asks for them side by side; one
+    without letters or digits asks for nothing.
+    """
+    phrases = F.transform(fts_terms("text"), lambda t: F.array_join(tokens(t), " "))
+    asked = queries.select("query_id", F.array_distinct(F.filter(phrases, lambda t: t != "")).alias("t"))
+    return asked.select("query_id", F.explode("t").alias("term"), F.size("t").alias("n_terms"))
+
+
+def phrase_postings(positions: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings ``(term, doc_id, tf)`` of the asked words and phrases; ``tf`` counts the places a phrase starts.
+
+    A document that has a phrase has its rarest word, so a phrase meets the documents of that word only;
+    its places there are what the lists of its words, each shifted by the word's offset, have in common.
+    """
+    asked = terms.select("term").distinct().withColumn("words", F.split("term", " "))
+    words = asked.select(F.explode("words").alias("term")).distinct()
+    hit = positions.join(words, "term", "left_semi")
+    single = hit.join(asked.filter(F.size("words") == 1).select("term"), "term", "left_semi").select("term", "doc_id", F.size("positions").alias("tf"))
+    df = hit.groupBy("term").agg(F.count("*").alias("df"))
+    places = asked.filter(F.size("words") > 1).select(F.col("term").alias("phrase"), "words", F.posexplode("words").alias("at", "term"))
+    known = places.join(df, "term").groupBy("phrase").agg(
+        F.count("*").alias("known"), F.min(F.struct("df", "term", "at")).alias("least"), F.first("words").alias("words")
+    )
+    rarest = known.filter(F.col("known") == F.size("words")).select("phrase", F.col("least.term").alias("term"))
+    cands = hit.select("term", "doc_id").join(rarest, "term").select("phrase", "doc_id")
+    rows = cands.join(places.select("phrase", "at", "term"), "phrase").join(hit, ["term", "doc_id"])
+    starts = rows.select("phrase", "doc_id", F.transform("positions", lambda p: p - F.col("at")).alias("starts"))
+    # the lists of one phrase in one document: as many as the phrase has words
+    lists = starts.groupBy("phrase", "doc_id").agg(F.collect_list("starts").alias("lists"))
+    n_words = F.size(F.split("phrase", " "))
+    common = F.aggregate(F.slice("lists", 2, n_words), F.col("lists")[0], lambda a, b: F.array_intersect(a, b))
+    both = lists.filter(F.size("lists") == n_words).select(F.col("phrase").alias("term"), "doc_id", F.size(common).alias("tf"))
+    return single.unionByName(both.filter("tf > 0"))
+
+
 def _full_matches(postings: DataFrame, terms: DataFrame, df: DataFrame) -> DataFrame:
     """Postings ``(query_id, term, doc_id, tf)`` of the documents that have every term of the query.
 
     A document that has all terms has the rarest, so the other terms are looked up only in the
     documents of that one; a query with a term that no document has is out.  ``df(term, df)``.
+    A candidate meets what the document has of all asked terms as one row, and is tested there.
     """
-    rarest = (
-        terms.join(df, "term")
-        .groupBy("query_id")
-        .agg(F.count("*").alias("known"), F.max("n_terms").alias("n_terms"), F.min(F.struct("df", "term")).alias("least"))
-        .filter("known = n_terms")
-        .select("query_id", F.col("least.term").alias("term"))
+    per_query = terms.join(df, "term").groupBy("query_id").agg(
+        F.max("n_terms").alias("n_terms"), F.min(F.struct("df", "term")).alias("least"), F.collect_list("term").alias("asked")
     )
+    per_query = per_query.filter(F.size("asked") == F.col("n_terms"))
+    rarest = per_query.select("query_id", F.col("least.term").alias("term"))
     cands = postings.select("term", "doc_id").join(rarest, "term").select("query_id", "doc_id")
-    rows = cands.join(terms, "query_id").join(postings, ["term", "doc_id"])
-    full = rows.groupBy("query_id", "doc_id").agg(
-        F.max("n_terms").alias("n_terms"), F.collect_list(F.struct("term", "tf")).alias("found")
-    )
-    return full.filter(F.size("found") == F.col("n_terms")).select("query_id", "doc_id", F.inline("found"))
+    met = postings.join(cands.select("doc_id").distinct(), "doc_id", "left_semi")
+    of_doc = met.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("has"))
+    rows = cands.join(of_doc, "doc_id").join(per_query.select("query_id", "asked"), "query_id")
+    full = rows.filter(F.forall("asked", lambda t: F.map_contains_key("has", t)))
+    found = F.transform("asked", lambda t: F.struct(t.alias("term"), F.try_element_at("has", t).alias("tf")))
+    return full.select("query_id", "doc_id", F.inline(found))
+
+
+def _asked(postings: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings of the terms that a query has, and each one's count of documents."""
+    hit = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    return hit, hit.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def fts_match(postings: DataFrame, queries: DataFrame) -> DataFrame:
     """Pairs ``(query_id, doc_id)`` where the document has every term of the query."""
     terms = query_terms(queries)
-    hit = postings.join(terms.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
+    hit, df = _asked(postings, terms)
     return _full_matches(hit, terms, df).select("query_id", "doc_id").distinct()
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
-    """BM25 score of each document that has every term of the query; larger is better.
+def phrase_match(positions: DataFrame, queries: DataFrame) -> DataFrame:
+    """Pairs ``(query_id, doc_id)`` where the document has every word and phrase of the cleaned query."""
+    terms = query_phrases(queries)
+    hit = phrase_postings(positions, terms)
+    df = hit.groupBy("term").agg(F.count("*").alias("df"))
+    return _full_matches(hit, terms, df).select("query_id", "doc_id").distinct()
 
-    Only postings of terms that a query has are read on; a term's document count and the
-    collection's size and mean length are aggregates of the index.
-    """
-    terms = query_terms(queries)
-    hit = postings.join(terms.select("term").distinct(), "term", "left_semi")
+
+def _scores(hit: DataFrame, lengths: DataFrame, terms: DataFrame) -> DataFrame:
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     n_docs = lengths.select(F.count("*").alias("n")).scalar()
     mean = lengths.select(F.avg("length").alias("m")).scalar()
@@ -89,6 +142,25 @@ def bm25(postings: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFra
     )
 
 
+def bm25(postings: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
+    """BM25 score of each document that has every term of the query; larger is better.
+
+    Only postings of terms that a query has are read on; a term's document count and the
+    collection's size and mean length are aggregates of the index.
+    """
+    terms = query_terms(queries)
+    return _scores(_asked(postings, terms)[0], lengths, terms)
+
+
+def phrase_bm25(positions: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
+    """BM25 score by words and phrases of the cleaned query; a phrase counts as one term.
+
+    Its frequency is the number of places where it starts, its document count that of the documents that have it.
+    """
+    terms = query_phrases(queries)
+    return _scores(cut(phrase_postings(positions, terms)), lengths, terms)
+
+
 def bm25_top(scores: DataFrame, limit: int = KEYWORD_LIMIT) -> DataFrame:
     return top_n(scores, ["query_id"], [F.round("score", 9).desc(), F.col("doc_id")], limit)
 

@@ -13,6 +13,7 @@ from worktrail.session import cut, spread
 from worktrail.sources import ingest
 
 START = 1_704_067_200_000
+SHORT = 1_000_000  # added to the id of a short query
 
 
 # --- vectors -----------------------------------------------------------------------------
@@ -93,6 +94,57 @@ def g4(spark, sf):
     return search.bm25_top(scored(spark, sf)).select("query_id", "doc_id", "rn")
 
 
+# Cleaned queries by words and phrases: of each benchmark text the whole, and two of its words hyphenated beside a third.
+PHRASE_SQL = "WITH " + INDEX_SQL.rstrip() + r""",
+asks AS (SELECT item_id AS query_id, text FROM benchmark UNION ALL
+ SELECT item_id + 1000000, ws[4] || '-' || ws[5] || ' "' || ws[7] || '!"' FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark)),
+cleaned AS (SELECT query_id, regexp_split_to_array(regexp_replace(regexp_replace(text, '["''`]', ' ', 'g'), '[?？!！:：;；(){}\[\]]', ' ', 'g'), '[\s\p{Z}]+') AS parts FROM asks),
+ph AS (SELECT DISTINCT query_id, array_to_string(list_filter(regexp_split_to_array(lower(part), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') AS term FROM (SELECT query_id, unnest(parts) AS part FROM cleaned)),
+pq AS (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS n_terms FROM ph WHERE term <> ''),
+place AS (SELECT term AS phrase, unnest(ws) AS word, generate_subscripts(ws, 1) AS off, len(ws) AS n FROM (SELECT DISTINCT term, string_split(term, ' ') AS ws FROM pq)),
+told AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents)),
+starts AS (SELECT phrase, doc_id, pos - off AS begins FROM told JOIN place USING (word) GROUP BY phrase, doc_id, pos - off HAVING count(*) = max(n)),
+pp AS (SELECT phrase AS term, doc_id, count(*) AS tf FROM starts GROUP BY 1, 2)"""
+PHRASE_SCORE_SQL = PHRASE_SQL + SCORE_SQL.replace("FROM post", "FROM pp").replace("JOIN qt", "JOIN pq")
+
+
+def phrase_queries(spark, sf):
+    """Each whole benchmark text, and words 4 and 5 of it hyphenated beside word 7 with query punctuation."""
+    b, ws = v.table(spark, sf, "benchmark"), tokens("text")
+    pair = F.concat(F.try_element_at(ws, F.lit(4)), F.lit("-"), F.try_element_at(ws, F.lit(5)))
+    short = F.concat(pair, F.lit(' "'), F.try_element_at(ws, F.lit(7)), F.lit('!"'))
+    i = F.col("item_id")
+    both = F.array(F.struct(i.alias("query_id"), F.col("text").alias("text")), F.struct((i + SHORT).alias("query_id"), short.alias("text")))
+    return b.select(F.inline(both))
+
+
+@query(
+    "c7_phrase_match",
+    PHRASE_SQL + " SELECT query_id, doc_id FROM pp JOIN pq USING (term) GROUP BY 1, 2 HAVING count(*) = max(n_terms)",
+)
+def c7_phrase(spark, sf):
+    return search.phrase_match(search.build_positions(documents(spark, sf)), phrase_queries(spark, sf))
+
+
+def phrase_scored(spark, sf):
+    docs = documents(spark, sf)
+    lengths = docs.select("doc_id", F.size(tokens("text")).cast("long").alias("length"))
+    return search.phrase_bm25(search.build_positions(docs), lengths, phrase_queries(spark, sf))
+
+
+@query("j3_phrase_bm25", PHRASE_SCORE_SQL + "SELECT query_id, doc_id, round(score, 6) AS score FROM sc")
+def j3_phrase(spark, sf):
+    return phrase_scored(spark, sf).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "g4_phrase_top",
+    PHRASE_SCORE_SQL + "SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rn FROM sc QUALIFY rn <= 30",
+)
+def g4_phrase(spark, sf):
+    return search.bm25_top(phrase_scored(spark, sf)).select("query_id", "doc_id", "rn")
+
+
 # --- candidates, fusion, neighbours ------------------------------------------------------
 
 
@@ -177,9 +229,6 @@ def j7(spark, sf):
 # --- the whole search --------------------------------------------------------------------
 
 
-SHORT = 1_000_000  # added to the id of a short query
-
-
 def search_queries(spark, sf):
     """Two queries per benchmark text: the whole text with a vector, and two of its words; filters on some."""
     i = F.col("item_id")
