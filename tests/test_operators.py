@@ -662,3 +662,21 @@ def test_scan_reads_wall_clock_times_without_a_cast(spark, tmp_path):
     assert dict(df.dtypes)["ts"] == "timestamp"
     assert [r.ms for r in df.orderBy("id").select(F.unix_millis("ts").alias("ms")).collect()] == [1704164645678 + i * 86_400_000 for i in range(3)]
     assert df.filter(F.col("ts") >= F.timestamp_millis(F.lit(1704164645679))).count() == 2
+
+
+def test_percentiles_by_ranges_against_sorting(spark):
+    """Values below one, heavy tails, ties, one value, one row, negatives and nulls, with a sketch that is really coarse."""
+    import math
+
+    rnd = random.Random(11)
+    values = {0: [rnd.random() for _ in range(3000)], 1: [rnd.paretovariate(0.4) for _ in range(3000)], 2: [7.0] * 500, 3: [-1.5],
+              4: [rnd.choice([0.0, 0.25, 0.5]) for _ in range(900)], 5: [-rnd.expovariate(1) for _ in range(1001)], 6: [0.5] * 2900 + [1e9] * 100}
+    data = [(w * 1000 + rnd.randrange(1000), x) for w, xs in values.items() for x in xs] + [(8500, None), (10, None)]
+    df = spark.createDataFrame(data, "ts_ms long, value double").repartition(8)
+    rank = lambda xs, p: sorted(xs)[max(math.ceil(len(xs) * p), 1) - 1]
+    ps = (0.01, 0.5, 0.51, 0.95, 1.0)
+    want = sorted((w * 1000, len(xs), *[rank(xs, p) for p in ps]) for w, xs in values.items())
+    for accuracy in (10_000, 50):
+        out = aggregates.latency_percentiles(df, "ts_ms", "value", 1000, ps, accuracy)
+        assert rows(out, "window_start", "n", "p1", "p50", "p51", "p95", "p100") == want
+    assert aggregates.latency_percentiles(df.limit(0), "ts_ms", "value", 1000).count() == 0
