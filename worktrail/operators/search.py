@@ -121,7 +121,7 @@ def fts_match(postings: DataFrame, queries: DataFrame) -> DataFrame:
 def phrase_match(positions: DataFrame, queries: DataFrame) -> DataFrame:
     """Pairs ``(query_id, doc_id)`` where the document has every word and phrase of the cleaned query."""
     terms = query_phrases(queries)
-    hit = phrase_postings(positions, terms)
+    hit = cut(phrase_postings(positions, terms))
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     return _full_matches(hit, terms, df).select("query_id", "doc_id").distinct()
 
