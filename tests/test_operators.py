@@ -680,3 +680,38 @@ def test_percentiles_by_ranges_against_sorting(spark):
         out = aggregates.latency_percentiles(df, "ts_ms", "value", 1000, ps, accuracy)
         assert rows(out, "window_start", "n", "p1", "p50", "p51", "p95", "p100") == want
     assert aggregates.latency_percentiles(df.limit(0), "ts_ms", "value", 1000).count() == 0
+
+
+def test_sql_functions_equal_their_column_forms(spark):
+    register(spark)
+    said = [None, "", "  ", "null", " NULL\t", "Unknown", "other", "  Ab  c　", "french", "zh-CN", "中文", "error", "It FAILED", "question", "urgent!",
+            "High", "explicit", "jira_id", "09:41", "24:00", "9:41", "screen:1:2", "window:7", "no_data", "failed", "failed_permanent", "succeeded",
+            "it's \"a-b\" (c)！d", "ff00ff00ff00ff00"]
+    data = [(s, i * 37 - 400, (i * i) % 11 - 2, i / 9 - 0.5 if i % 4 else None, [None, True, False][i % 3], [s, " x ", ""] if i % 5 else [], i % 7 if i % 6 else None) for i, s in enumerate(said)]
+    df = spark.createDataFrame(data, "c string, a long, b long, d double, flag boolean, arr array<string>, n int")
+    df = df.withColumn("ints", F.array(F.col("b").cast("int"), F.lit(3), F.lit(1)))
+    c, d = F.col("c"), F.col("d")
+    pairs = {
+        "wt_hamming(a, b)": keys.hamming("a", "b"), "wt_is_near_dup(a, b)": keys.is_near_dup("a", "b"),
+        "wt_is_source_key(c)": keys.is_source_key("c"), "wt_source_kind(c)": keys.source_kind("c"),
+        "wt_source_key(IF(flag, 'screen', 'window'), c, arr[1])": keys.source_key(F.when(F.col("flag"), "screen").otherwise("window"), c, F.get("arr", 1)),
+        "wt_clamp(d, 0D, 1D)": normalize.clamp("d", 0.0, 1.0), "wt_ellipsis(c, 6)": text.ellipsis("c", 6), "wt_strip(c)": text.strip("c"),
+        "wt_squeeze(c)": text.squeeze("c"), "wt_blank_to_null(c)": text.blank_to_null("c"), "wt_tokens(c)": text.tokens("c"),
+        "wt_fts_terms(c)": text.fts_terms("c"), "wt_minute_of_day(c)": keys.minute_of_day("c"), "wt_health(d, 0.2D, 0.8D)": keys.health_level(d, 0.2, 0.8),
+        "wt_summary_status(c)": keys.summary_status("c"), "wt_details_status(c)": keys.details_status("c"), "wt_text_hash(c)": text.text_hash("c"),
+        "wt_marker_key(c)": keys.marker_key(c), "wt_origin_key(c, ints)": keys.origin_key(c, F.col("ints")), "wt_clean_app_hint(c)": normalize.clean_app_hint("c"),
+        "wt_real_app_hint(c)": normalize.real_app_hint("c"), "wt_language_bucket(c)": normalize.language_bucket("c"), "wt_entity_type(c)": normalize.entity_type("c"),
+        "wt_issue_type(c)": normalize.issue_type("c"), "wt_action_priority(c)": normalize.action_priority("c"), "wt_action_source(c)": normalize.action_source("c"),
+        "wt_clean_names(arr)": normalize.clean_names("arr"), "wt_merge_hints(c, arr[1])": normalize.merge_hints(c, F.get("arr", 1)),
+        "wt_boosted_importance(n, flag)": normalize.boosted_importance(F.col("n"), F.col("flag")), "wt_cap_uncited(d, arr)": normalize.cap_uncited(d, F.col("arr")),
+    }
+    pairs = {sql.replace("arr[1]", "get(arr, 1)"): col for sql, col in pairs.items()}
+    for sql, col in pairs.items():
+        got = df.select(F.expr(sql).alias("sql"), col.alias("col"), "c").collect()
+        assert [r["sql"] for r in got] == [r["col"] for r in got], (sql, [(r["sql"], r["col"]) for r in got if r["sql"] != r["col"]][:3])
+    hexes = spark.createDataFrame([("ff00ff00ff00ff00",), ("00",), (None,)], "c string")
+    assert all(r.a == r.b for r in hexes.select(F.expr("wt_fingerprint(c)").alias("a"), keys.fingerprint("c").alias("b")).collect())
+    from worktrail.functions import SQL_FUNCTIONS
+
+    tested = {sql.split("(")[0] for sql in pairs} | {"wt_fingerprint", "wt_window_start"}
+    assert tested == {s.split("(")[0] for s in SQL_FUNCTIONS}
