@@ -65,7 +65,8 @@ def phrase_postings(positions: DataFrame, terms: DataFrame) -> DataFrame:
     """
     asked = terms.select("term").distinct().withColumn("words", F.split("term", " "))
     words = asked.select(F.explode("words").alias("term")).distinct()
-    hit = positions.join(words, "term", "left_semi")
+    # read by every step below; only asked words are kept, so an index made on the fly is never shuffled whole
+    hit = cut(positions.join(words, "term", "left_semi"))
     single = hit.join(asked.filter(F.size("words") == 1).select("term"), "term", "left_semi").select("term", "doc_id", F.size("positions").alias("tf"))
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     places = asked.filter(F.size("words") > 1).select(F.col("term").alias("phrase"), "words", F.posexplode("words").alias("at", "term"))
