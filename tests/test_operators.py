@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from worktrail.functions import keys, normalize, register, text
-from worktrail.operators import aggregates, blocks, filters, folds, joins, match, ranking, search, sequential, sets, vectors
+from worktrail.operators import aggregates, blocks, filters, folds, joins, lifecycle, match, ranking, search, sequential, sets, vectors
 from worktrail.sources import ingest
 
 
@@ -90,17 +90,65 @@ def test_running_and_lag_over_blocks(hot, events):
     assert {r["id"]: (r["p1"], r["p3"]) for r in lag.collect()} == want_lag
 
 
-def test_busy_blocks_are_cut_in_order(hot, events):
-    even = blocks.even_blocks(hot, "ts_ms", 3_600_000, max_rows=60)
-    assert even.busy
-    df = hot.withColumn("b", blocks.time_block("ts_ms", even))
-    largest = df.groupBy("b").count().agg(F.max("count")).first()[0]
-    assert largest < hot.groupBy(blocks.time_block("ts_ms", 3_600_000)).count().agg(F.max("count")).first()[0]
-    run = blocks.running(df, [], ["ts_ms", "id"], "b", {"n": ("sum", F.lit(1).cast("long"))})
+def test_ranges_are_even_and_in_order(hot, events):
+    df = blocks.in_ranges(hot, [], ["ts_ms", "id"], 24)
+    assert df.groupBy(blocks.BLOCK).count().agg(F.max("count")).first()[0] < len(events) / 8
+    run = blocks.running(df, [], ["ts_ms", "id"], blocks.BLOCK, {"n": ("sum", F.lit(1).cast("long"))})
     order = sorted(events, key=lambda r: (r[2], r[0]))
     assert {r["id"]: r["n"] for r in run.collect()} == {r[0]: i + 1 for i, r in enumerate(order)}
 
 
+@pytest.fixture(scope="module")
+def burst(spark):
+    """20,000 rows of one key, two in three of them in one millisecond; every tenth row without a time."""
+    t = F.when(F.col("id") % 10 == 9, None).when(F.col("id") % 3 == 0, F.col("id")).otherwise(7_000)
+    return spark.range(20_000).select("id", F.lit("a").alias("key"), t.cast("long").alias("ts_ms"), (F.col("id") % 5).alias("fp"))
+
+
+def test_a_burst_in_one_millisecond_is_spread(burst):
+    df = blocks.in_ranges(burst, ["key"], ["ts_ms", "id"], 24)
+    assert df.groupBy(blocks.BLOCK).count().agg(F.max("count")).first()[0] < 20_000 / 8
+
+
+def by_time(burst):
+    return sorted(burst.collect(), key=lambda r: (r["ts_ms"] is not None, r["ts_ms"] or 0, r["id"]))
+
+
+def test_lane_of_one_millisecond(burst):
+    now = 10**9
+    got = ranking.lane_order(burst.withColumn("attempts", F.lit(1)), now, ranges=24).orderBy("slot").collect()
+    assert [r["id"] for r in got] == [r["id"] for r in by_time(burst)] and {r["lane"] for r in got} == {"recovery"}
+
+
+def test_changes_and_rates_in_one_millisecond(burst):
+    want, before = [], None
+    for r in by_time(burst):
+        if before is None or before["ts_ms"] is None or r["fp"] != before["fp"]:
+            want.append(r["id"])
+        before = r
+    assert sorted(r["id"] for r in sequential.changes_only(burst, "key", "fp", 24).collect()) == sorted(want)
+    rates = {r["id"]: r["rate"] for r in ranking.counter_rate(burst, "key", "fp", 24).collect()}
+    before = None
+    for r in by_time(burst):
+        known = before is not None and before["ts_ms"] is not None and r["ts_ms"] is not None and r["ts_ms"] > before["ts_ms"]
+        rate = (r["fp"] - before["fp"]) / (r["ts_ms"] - before["ts_ms"]) * 100 if known else 0.0
+        assert abs(rates[r["id"]] - max(0.0, min(100.0, rate))) < 1e-9
+        before = r
+
+
+def test_sessions_and_durations_of_one_millisecond(burst):
+    timed = [r["ts_ms"] for r in by_time(burst) if r["ts_ms"] is not None]
+    want, first = [], 0
+    for i in range(1, len(timed) + 1):
+        if i == len(timed) or timed[i] - timed[i - 1] > 5:
+            want.append((timed[first], timed[i - 1], i - first))
+            first = i
+    assert rows(lifecycle.sessions(burst, "key", 5, 24), "start_ms", "last_ms", "n") == want
+    steps = [b - a for a, b in zip(timed, timed[1:])]
+    got = aggregates.gap_duration(burst.filter("ts_ms IS NOT NULL"), "key", gap_ms=5, block_ms=1_000).first()
+    assert (got["duration_ms"], got["node_count"]) == (sum(d for d in steps if 0 < d <= 5), len(timed))
+
+
 def test_top_n_beyond_the_group_limit(hot, events):
     got = blocks.top_n(hot, ["key"], [F.col("ts_ms").desc(), F.col("id").desc()], 1500)
     want = []
@@ -209,7 +257,7 @@ def test_nearest_k_with_ties(spark, events):
             continue
         mates = sorted((b, a) for a, k, b in small if k == key)
         want += [(i, "before", a) for b, a in [m for m in mates if m[0] <= t][-3:]] + [(i, "after", a) for b, a in [m for m in mates if m[0] >= t][:3]]
-    assert rows(joins.nearest_k(piv, n, block_ms=60_000), "pivot_id", "side", "id") == sorted(want)
+    assert rows(joins.nearest_k(piv, n, ranges=12), "pivot_id", "side", "id") == sorted(want)
 
 
 def test_band_join_with_ties(spark, events):
@@ -220,7 +268,7 @@ def test_band_join_with_ties(spark, events):
         inside = sorted((b, a) for a, b in small if t - 120_000 <= b <= t + 120_000)[:6]
         want += [(i, a) for _, a in inside]
     piv = n.join(spark.createDataFrame([(i,) for i, _ in small[::9]], "id long"), "id").withColumnRenamed("id", "pivot_id")
-    assert rows(joins.band_join(piv, n, block_ms=60_000), "pivot_id", "id") == sorted(want)
+    assert rows(joins.band_join(piv, n, ranges=12), "pivot_id", "id") == sorted(want)
 
 
 def test_overlap_is_open(spark):
@@ -387,7 +435,7 @@ def test_phrases_against_brute_force(spark):
 
 def test_lane_order_is_a_permutation(hot, events):
     now = events[-1][2]
-    out = ranking.lane_order(hot.withColumn("attempts", F.col("depth") % 2), now, age_ms=10**12, block_ms=60_000)
+    out = ranking.lane_order(hot.withColumn("attempts", F.col("depth") % 2), now, age_ms=10**12, ranges=12)
     got = out.orderBy("slot").collect()
     assert sorted(r["id"] for r in got) == [r[0] for r in events] and len({r["slot"] for r in got}) == len(events)
     lanes = [r["lane"] for r in got][:40]
@@ -437,10 +485,10 @@ def _answer(rows, budget, caps):
     return [r[1] for r in (out + left())[:budget]]
 
 
-@pytest.mark.parametrize("min_rows", [10, 2_000, 10**6])
-def test_trailing_failure_rate(hot, events, min_rows):
+@pytest.mark.parametrize("ranges", [1, 40, None])
+def test_trailing_failure_rate(hot, events, ranges):
     df = hot.withColumn("status", F.when(F.col("fp") % 3 == 0, "failed").otherwise("succeeded"))
-    out = ranking.trailing_failure_rate(df, "key", 20, 600_000, min_rows).collect()
+    out = ranking.trailing_failure_rate(df, "key", 20, ranges).collect()
     got = {r["id"]: (r["window_rows"], round(r["failure_rate"], 9), r["failure_run"], r["success_run"]) for r in out}
     want = {}
     for group in by_key(events).values():

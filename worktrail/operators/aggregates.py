@@ -126,16 +126,18 @@ def gap_duration(df: DataFrame, key: str, ts_ms: str = "ts_ms", gap_ms: int = GA
     """Start, end, row count and gap-limited duration per key.
 
     The duration adds the steps between consecutive rows that are above zero and at most
-    ``gap_ms``.  Steps inside a ``(key, block)`` group are added there; the steps across block
-    borders come from the blocks' first and last times.
+    ``gap_ms``.  Rows of one time are counted first, so a block holds at most one row per millisecond.
+    Steps inside a ``(key, block)`` group are added there; the steps across block borders come from the
+    blocks' first and last times.
     """
-    rows = df.filter(F.col(key).isNotNull()).select(key, F.col(ts_ms).alias("t")).withColumn("__block", time_block("t", block_ms))
+    times = df.filter(F.col(key).isNotNull()).groupBy(key, F.col(ts_ms).alias("t")).agg(F.count("*").alias("same"))
+    rows = times.withColumn("__block", time_block("t", block_ms))
     inside = Window.partitionBy(key, "__block").orderBy("t")
     counted = lambda d: F.when((d > 0) & (d <= gap_ms), d).otherwise(F.lit(0))
     blocks = (
         rows.withColumn("d", F.col("t") - F.lag("t").over(inside))
         .groupBy(key, "__block")
-        .agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"), F.sum(counted(F.col("d"))).alias("dur"))
+        .agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.sum("same").alias("n"), F.sum(counted(F.col("d"))).alias("dur"))
     )
     across = Window.partitionBy(key).orderBy("__block")
     step = F.col("lo") - F.lag("hi").over(across)

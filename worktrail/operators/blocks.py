@@ -1,23 +1,22 @@
 """Ordered computations over one key that stay spread over many tasks.
 
 A plain ``Window.partitionBy(key)`` puts every row of a key into one task, which
-fails when one key holds a third of the table.  The helpers here cut each key's
-timeline into *blocks* (normally fixed spans of time), run the window inside a
-``(key, block)`` group, and pass what must cross a block border through a summary
-with one row per ``(key, block)``.  Only that summary is ever ordered per key, so
-the largest ordered group is the number of blocks in the time span, whatever the
-number of rows.  A timeline with bursts passes ``even_blocks``, which bounds the rows of a
-block.  Everything is built-in expressions; results are exact.
+fails when one key holds a third of the table.  ``in_ranges`` deals the rows out into
+many even ranges of ``(key, order)``; the window runs inside a ``(key, range)`` group, and
+what must cross a border passes through a summary with one row per ``(key, range)``.
+Only that summary is ever ordered per key, so the largest ordered group is the number
+of ranges, whatever the number of rows.  Everything is built-in expressions; results are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from worktrail.session import cut
+
 HOUR_MS = 3_600_000
 DAY_MS = 24 * HOUR_MS
 
@@ -30,47 +29,23 @@ def ms(ts: str | Column) -> Column:
     return F.unix_millis(F.col(ts) if isinstance(ts, str) else ts)
 
 
-@dataclass(frozen=True)
-class Blocks:
-    """Spans of ``width_ms``; each span in ``busy`` is cut into ``parts`` equal pieces."""
-
-    width_ms: int
-    busy: tuple[int, ...] = ()
-    parts: int = 1000
-
-
-def even_blocks(df: DataFrame, ts_ms: str, width_ms: int, max_rows: int = 2_000_000) -> Blocks:
-    """Blocks for a timeline with bursts: spans with more than ``max_rows`` rows are cut further.
-
-    The list of such spans has at most ``rows / max_rows`` entries.
-    """
-    counts = df.groupBy(time_block(ts_ms, width_ms).alias("b")).agg(F.count("*").alias("n"))
-    busy = counts.filter((F.col("n") > max_rows) & F.col("b").isNotNull()).select("b").collect()
-    return Blocks(width_ms, tuple(sorted(r["b"] for r in busy)))
-
-
-def time_block(ts_ms: str | Column, width: int | Blocks) -> Column:
+def time_block(ts_ms: str | Column, width_ms: int) -> Column:
     """Number of the span that holds an epoch-millisecond value; numbers grow with time."""
     c = F.col(ts_ms) if isinstance(ts_ms, str) else ts_ms
-    if isinstance(width, int):
-        return F.floor(c / F.lit(width)).cast("long")
-    span = F.floor(c / F.lit(width.width_ms)).cast("long")
-    if not width.busy:
-        return span
-    piece = F.floor((c - span * width.width_ms) * width.parts / width.width_ms).cast("long")
-    return span * width.parts + F.when(span.isin(list(width.busy)), piece).otherwise(0)
+    return F.floor(c / F.lit(width_ms)).cast("long")
 
 
-def busy_keys(df: DataFrame, key: str, min_rows: int = 1_000_000, most: int = 10_000) -> list:
-    """Keys with more than ``min_rows`` rows and more than one ``most``-th of all: at most ``most`` of them."""
-    limit = max(min_rows, df.count() // most)
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    return [r[key] for r in counts.filter(F.col("n") > limit).collect()]
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """``df`` with ``__block``, the number of the range of ``(keys, order)`` that holds the row.
 
-
-def busy_block(key: str, busy: list, ts_ms: str | Column, width: int | Blocks) -> Column:
-    """Time blocks for the busy keys; every other key is one block, which needs no carried rows."""
-    return F.when(F.col(key).isin(busy), time_block(ts_ms, width)).otherwise(0) if busy else F.lit(0).cast("long")
+    Spark measures the ranges on a sample of the sort columns, so neither a hot key nor a burst in one
+    millisecond makes a large one, as long as ``order`` ends in an id; rows alike in all of these columns
+    stay together.  Numbers grow with the order.  ``ranges`` defaults to the session's shuffle partitions,
+    of which small neighbours are joined.  The rows are written once, so a lost executor cannot move a border.
+    """
+    by = [*keys, *order]
+    dealt = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
+    return cut(dealt.withColumn(BLOCK, F.spark_partition_id().cast("long")))
 
 
 def carry_rows(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worktrail.operators.blocks import DAY_MS, HOUR_MS, even_blocks, running, time_block, top_n
+from worktrail.operators.blocks import BLOCK, in_ranges, running, time_block, top_n
 from worktrail.operators.filters import drop_system_windows, flag_self
 
 # Fixed values.
@@ -61,29 +61,30 @@ def nodes_for_vectors(matches: DataFrame, docs: DataFrame, nodes: DataFrame) ->
     return best.join(nodes, "id")
 
 
-def overlapped_windows(windows: DataFrame, events: DataFrame, block_ms: int = DAY_MS) -> DataFrame:
+def overlapped_windows(windows: DataFrame, events: DataFrame, ranges: int | None = None) -> DataFrame:
     """Each window with a flag: does any event overlap it (``start < window_end`` and ``end > window_start``)?
 
     An event qualifies when it starts before the window ends, and the one that ends last of
     those decides.  So the flag is a running maximum of event ends over one timeline, and a
-    long event is never copied into the windows it covers.
+    long event is never copied into the windows it covers.  Of the events that start in one millisecond
+    only the latest end is kept; events without a start and windows without an end are left out.
     """
-    marks = events.select(
+    latest = events.filter("start_ms IS NOT NULL").groupBy("start_ms").agg(F.max("end_ms").alias("end_ms"))
+    marks = latest.select(
         F.col("start_ms").alias("at"), F.lit(1).alias("side"), F.col("end_ms").alias("reach"),
         F.lit(None).cast("long").alias("window_start"),
     ).unionByName(
-        windows.select(
+        windows.select("window_start", "window_end").filter("window_end IS NOT NULL").distinct().select(
             F.col("window_end").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("reach"),
             "window_start",
         )
     )
-    marks = marks.withColumn("__block", time_block("at", even_blocks(marks, "at", block_ms)))
-    swept = running(marks, [], ["at", "side"], "__block", {"reached": ("max", F.col("reach"))})
-    flags = swept.filter("side = 0").select(
+    order = ["at", "side", "window_start"]
+    swept = running(in_ranges(marks, [], order, ranges), [], order, BLOCK, {"reached": ("max", F.col("reach"))})
+    return swept.filter("side = 0").select(
         "window_start", F.col("at").alias("window_end"),
         F.coalesce(F.col("reached") > F.col("window_start"), F.lit(False)).alias("has_long_event"),
     )
-    return flags.distinct()
 
 
 def assign_window(df: DataFrame, ts_ms: str, width_ms: int = WINDOW_MS) -> DataFrame:
@@ -92,7 +93,7 @@ def assign_window(df: DataFrame, ts_ms: str, width_ms: int = WINDOW_MS) -> DataF
     return df.withColumn("window_start", start).withColumn("window_end", start + width_ms)
 
 
-def _timeline(nodes: DataFrame, markers: DataFrame, keys: list[str], block_ms: int) -> DataFrame:
+def _timeline(nodes: DataFrame, markers: DataFrame, keys: list[str], ranges: int | None) -> DataFrame:
     """Nodes (``side = 0``) and markers on one timeline per key, with ``n`` = nodes up to the row.
 
     ``markers`` has the keys, ``pivot_id``, ``ts_ms`` and ``side``: -1 stands before the nodes
@@ -102,11 +103,10 @@ def _timeline(nodes: DataFrame, markers: DataFrame, keys: list[str], block_ms: i
     rows = nodes.select(*keys, "ts_ms", F.lit(0).alias("side"), "id", no_id.alias("pivot_id")).unionByName(
         markers.select(*keys, "ts_ms", "side", no_id.alias("id"), F.col("pivot_id").cast("long").alias("pivot_id"))
     )
-    # without a key nothing else spreads a busy hour
-    width = block_ms if keys else even_blocks(nodes, "ts_ms", block_ms)
-    rows = rows.withColumn("__block", time_block("ts_ms", width))
+    order = ["ts_ms", "side", "id", "pivot_id"]
+    rows = in_ranges(rows.filter("ts_ms IS NOT NULL"), keys, order, ranges)
     one = F.when(F.col("side") == 0, 1).otherwise(0).cast("long")
-    return running(rows, keys, ["ts_ms", "side", "id"], "__block", {"n": ("sum", one)})
+    return running(rows, keys, order, BLOCK, {"n": ("sum", one)})
 
 
 def nearest_k(
@@ -115,7 +115,7 @@ def nearest_k(
     k_before: int = NEIGHBORS_BEFORE,
     k_after: int = NEIGHBORS_AFTER,
     key: str = "thread_id",
-    block_ms: int = HOUR_MS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """The ``k`` nodes at or before and at or after each pivot of the same key.
 
@@ -126,7 +126,7 @@ def nearest_k(
     own = pivots.filter(F.col(key).isNotNull()).select(key, "pivot_id", "ts_ms")
     markers = own.withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1))))
     held = nodes.filter(F.col(key).isNotNull()).join(own.select(key).distinct(), key, "left_semi")
-    line = _timeline(held, markers, [key], block_ms)
+    line = _timeline(held, markers, [key], ranges)
     n = F.col("n")
     numbers = F.when(F.col("side") > 0, F.sequence(n - (k_before - 1), n)).otherwise(F.sequence(n + 1, n + k_after))
     wanted = line.filter("side <> 0").select(
@@ -138,7 +138,7 @@ def nearest_k(
 
 def band_join(
     pivots: DataFrame, nodes: DataFrame, radius_ms: int = BAND_MS, limit: int = NEIGHBORS_BEFORE + NEIGHBORS_AFTER,
-    block_ms: int = HOUR_MS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """The earliest ``limit`` nodes within ``radius_ms`` of each pivot, both ends counted.
 
@@ -149,7 +149,7 @@ def band_join(
     touched = pivots.select(F.explode(F.array(cell(F.col("ts_ms") - radius_ms), cell(F.col("ts_ms") + radius_ms))).alias("__cell")).distinct()
     nodes = nodes.withColumn("__cell", cell(F.col("ts_ms"))).join(touched, "__cell", "left_semi").drop("__cell")
     markers = pivots.select("pivot_id", (F.col("ts_ms") - radius_ms).alias("ts_ms"), F.lit(-1).alias("side"))
-    line = _timeline(nodes, markers, [], block_ms)
+    line = _timeline(nodes, markers, [], ranges)
     wanted = line.filter("side < 0").select(
         "pivot_id", (F.col("ts_ms") + 2 * radius_ms).alias("__hi"),
         F.explode(F.sequence(F.col("n") + 1, F.col("n") + limit)).alias("n"),

@@ -102,21 +102,22 @@ def reopen_windows(summaries: DataFrame, nodes: DataFrame, now_ms: int, width_ms
     )
 
 
-def sessions(df: DataFrame, key: str, gap_ms: int = 10 * 60_000, block_ms: int = HOUR_MS) -> DataFrame:
+def sessions(df: DataFrame, key: str, gap_ms: int = 10 * 60_000, ranges: int | None = None) -> DataFrame:
     """Activity sessions per key: start, last row and row count; a step of exactly the gap stays inside.
 
-    Rows get their session number block by block; a session window would sort a whole key in one task.
+    Times are counted once each and numbered range by range; a session window would sort a whole key in one task.
     """
-    numbered = gap_sessions(df.select(key, "id", "ts_ms"), key, gap_ms, block_ms)
+    times = df.groupBy(key, "ts_ms").agg(F.count("*").alias("same"))
+    numbered = gap_sessions(times, key, gap_ms, ranges)
     spans = numbered.groupBy(key, "session").agg(
-        F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("last_ms"), F.count("*").alias("n")
+        F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("last_ms"), F.sum("same").alias("n")
     )
     return spans.drop("session")
 
 
-def evict_idle(captures: DataFrame, now_ms: int, ttl_ms: int = SOURCE_TTL_MS, block_ms: int = HOUR_MS) -> DataFrame:
+def evict_idle(captures: DataFrame, now_ms: int, ttl_ms: int = SOURCE_TTL_MS, ranges: int | None = None) -> DataFrame:
     """When a source's buffer was dropped: each time it was not seen for longer than ``ttl_ms``."""
-    spans = sessions(captures, "source_key", ttl_ms, block_ms)
+    spans = sessions(captures, "source_key", ttl_ms, ranges)
     gone = spans.filter(F.col("last_ms") < now_ms - ttl_ms)
     return gone.select("source_key", F.col("last_ms").alias("last_seen_ms"), F.col("n").alias("captures"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worktrail.operators.blocks import (
-    CARRY, DAY_MS, HOUR_MS, busy_block, busy_keys, lag_in_blocks, running, time_block, top_n, with_carry,
+    BLOCK, CARRY, DAY_MS, HOUR_MS, in_ranges, lag_in_blocks, running, time_block, top_n, with_carry,
 )
 from worktrail.operators.filters import drop_system_windows, within
 
@@ -37,12 +37,16 @@ def last_n(df: DataFrame, key: str, n: int, ts_ms: str = "ts_ms", tie: str = "id
     return top_n(df, [key], [F.col(ts_ms).desc(), F.col(tie).desc()], n)
 
 
-def gap_sessions(df: DataFrame, key: str, gap_ms: int, block_ms: int = HOUR_MS) -> DataFrame:
-    """Session number of each row: a step longer than ``gap_ms`` starts a new one."""
-    rows = df.filter(F.col(key).isNotNull()).withColumn("__block", time_block("ts_ms", block_ms))
-    rows = lag_in_blocks(rows, [key], ["ts_ms", "id"], "__block", {"__prev": ("ts_ms", 1)})
+def gap_sessions(df: DataFrame, key: str, gap_ms: int, ranges: int | None = None) -> DataFrame:
+    """Session number of each row: a step longer than ``gap_ms`` starts a new one.
+
+    Rows without key or time have no session and are left out; rows of one time are ordered by ``id``, if there is one.
+    """
+    order = [c for c in ("ts_ms", "id") if c in df.columns]
+    rows = in_ranges(df.filter(F.col(key).isNotNull() & F.col("ts_ms").isNotNull()), [key], order, ranges)
+    rows = lag_in_blocks(rows, [key], order, BLOCK, {"__prev": ("ts_ms", 1)})
     starts = F.when(F.col("__prev").isNull() | (F.col("ts_ms") - F.col("__prev") > gap_ms), 1).otherwise(0).cast("long")
-    return running(rows, [key], ["ts_ms", "id"], "__block", {"session": ("sum", starts)}).drop("__prev", "__block")
+    return running(rows, [key], order, BLOCK, {"session": ("sum", starts)}).drop("__prev", BLOCK)
 
 
 def two_ended(df: DataFrame, order: Sequence[str], cap: int) -> DataFrame:
@@ -113,23 +117,24 @@ def app_boost(node_app: Column, wanted: Column) -> Column:
 
 
 def lane_order(df: DataFrame, now_ms: int, ts_ms: str = "ts_ms", weights: tuple[int, int] = LANE_WEIGHTS,
-               age_ms: int = LANE_AGE_MS, by_attempts: bool = True, block_ms: int = DAY_MS) -> DataFrame:
+               age_ms: int = LANE_AGE_MS, by_attempts: bool = True, ranges: int | None = None) -> DataFrame:
     """Dispatch slot: realtime rows newest first and recovery rows oldest first, three to one.
 
-    Rows are numbered inside their lane over blocks of time, so no lane is sorted in one task.
+    Rows are numbered inside their lane over even ranges, so no lane is sorted in one task.  A row without
+    a time counts as realtime if it was never tried, and comes first in its lane.
     """
     old = F.col(ts_ms) < now_ms - age_ms
     recovery = (F.col("attempts") > 0) | old if by_attempts else old
     laned = df.withColumn("lane", F.when(recovery, "recovery").otherwise("realtime"))
     laned = laned.withColumn("__ord", F.when(F.col("lane") == "recovery", F.col(ts_ms)).otherwise(-F.col(ts_ms)))
-    laned = laned.withColumn("__block", time_block("__ord", block_ms))
-    ranked = running(laned, ["lane"], ["__ord", "id"], "__block", {"__r": ("sum", F.lit(1).cast("long"))})
+    laned = in_ranges(laned, ["lane"], ["__ord", "id"], ranges)
+    ranked = running(laned, ["lane"], ["__ord", "id"], BLOCK, {"__r": ("sum", F.lit(1).cast("long"))})
     fast, slow = weights
     r = F.col("__r") - 1
     slot = F.when(F.col("lane") == "realtime", F.floor(r / fast) * (fast + slow) + r % fast).otherwise(
         F.floor(r / slow) * (fast + slow) + fast + r % slow
     )
-    return ranked.withColumn("slot", slot.cast("long")).drop("__ord", "__block", "__r")
+    return ranked.withColumn("slot", slot.cast("long")).drop("__ord", BLOCK, "__r")
 
 
 def char_budget(df: DataFrame, key: str, order: Sequence[Column], col: str,
@@ -183,19 +188,17 @@ def failure_bursts(df: DataFrame, key: str, width_ms: int = BURST_MS, n: int = B
     return flagged.filter("__at = __bin").select(key, "id", "ts_ms", "failures", "tripped")
 
 
-def trailing_failure_rate(
-    df: DataFrame, key: str, n: int = RATE_WINDOW, block_ms: int = HOUR_MS, min_rows: int = 1_000_000
-) -> DataFrame:
+def trailing_failure_rate(df: DataFrame, key: str, n: int = RATE_WINDOW, ranges: int | None = None) -> DataFrame:
     """Failure share of the last ``n`` rows per key, and the length of the run the row ends.
 
-    Keys of more than ``min_rows`` rows are cut into blocks of time; the frame reaches into earlier blocks through carried rows; run lengths come from the
-    running row number and the number at which the run began.
+    The frame reaches into earlier ranges of the key through carried rows; run lengths come from the running
+    row number and the number at which the run began.  Rows without a key are left out, those without a time come first.
     """
-    rows = df.select(key, "id", "ts_ms", F.when(F.col("status") == "failed", 1).otherwise(0).alias("bad"))
-    rows = rows.withColumn("__block", busy_block(key, busy_keys(df, key, min_rows), "ts_ms", block_ms))
+    rows = df.filter(F.col(key).isNotNull()).select(key, "id", "ts_ms", F.when(F.col("status") == "failed", 1).otherwise(0).alias("bad"))
     order = ["ts_ms", "id"]
-    carried = with_carry(rows, [key], order, "__block", ["bad"], n - 1)
-    w = Window.partitionBy(key, "__block").orderBy(*order)
+    rows = in_ranges(rows, [key], order, ranges)
+    carried = with_carry(rows, [key], order, BLOCK, ["bad"], n - 1)
+    w = Window.partitionBy(key, BLOCK).orderBy(*order)
     frame = w.rowsBetween(-(n - 1), 0)
     rated = (
         carried.withColumn("window_rows", F.count("*").over(frame))
@@ -204,9 +207,9 @@ def trailing_failure_rate(
         .filter(~F.col(CARRY))
         .drop(CARRY)
     )
-    numbered = running(rated, [key], order, "__block", {"__no": ("sum", F.lit(1).cast("long"))})
+    numbered = running(rated, [key], order, BLOCK, {"__no": ("sum", F.lit(1).cast("long"))})
     begins = F.when(F.col("__prev").isNull() | (F.col("__prev") != F.col("bad")), F.col("__no"))
-    runs = running(numbered, [key], order, "__block", {"__from": ("max", begins)})
+    runs = running(numbered, [key], order, BLOCK, {"__from": ("max", begins)})
     length = F.col("__no") - F.col("__from") + 1
     return runs.select(
         key, "id", "ts_ms", "window_rows", "failure_rate",
@@ -215,13 +218,13 @@ def trailing_failure_rate(
     )
 
 
-def counter_rate(df: DataFrame, key: str, counter: str, block_ms: int = HOUR_MS) -> DataFrame:
+def counter_rate(df: DataFrame, key: str, counter: str, ranges: int | None = None) -> DataFrame:
     """Growth of a counter per elapsed millisecond in percent, within 0 and 100."""
-    rows = df.withColumn("__block", time_block("ts_ms", block_ms))
-    rows = lag_in_blocks(rows, [key], ["ts_ms", "id"], "__block", {"__t": ("ts_ms", 1), "__c": (counter, 1)})
+    rows = in_ranges(df, [key], ["ts_ms", "id"], ranges)
+    rows = lag_in_blocks(rows, [key], ["ts_ms", "id"], BLOCK, {"__t": ("ts_ms", 1), "__c": (counter, 1)})
     dt = F.col("ts_ms") - F.col("__t")
     rate = F.when(dt > 0, (F.col(counter) - F.col("__c")) / dt * 100).otherwise(F.lit(0.0))
-    return rows.withColumn("rate", F.greatest(F.lit(0.0), F.least(F.lit(100.0), rate))).drop("__t", "__c", "__block")
+    return rows.withColumn("rate", F.greatest(F.lit(0.0), F.least(F.lit(100.0), rate))).drop("__t", "__c", BLOCK)
 
 
 def order_evidence(evidence: DataFrame, shown: DataFrame, n: int = MAX_EVIDENCE) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from worktrail.functions.keys import batch_id
-from worktrail.operators.blocks import DAY_MS, HOUR_MS, lag_in_blocks, running, time_block
+from worktrail.operators.blocks import BLOCK, HOUR_MS, in_ranges, lag_in_blocks, running, time_block
 from worktrail.operators.folds import ordered_fold
 
 # Fixed values.
@@ -169,9 +169,9 @@ def coalesce_changes(df: DataFrame, key: str, width_ms: int = COALESCE_MS, parti
     return running(merged, [key], ["opened"], "__block", {"revision": ("sum", one)}).drop("__block")
 
 
-def changes_only(df: DataFrame, key: str, sig: str, block_ms: int = DAY_MS) -> DataFrame:
+def changes_only(df: DataFrame, key: str, sig: str, ranges: int | None = None) -> DataFrame:
     """Rows whose signature differs from the row before; the first row of a key always counts."""
-    rows = df.withColumn("__block", time_block("ts_ms", block_ms))
-    rows = lag_in_blocks(rows, [key], ["ts_ms", "id"], "__block", {"__sig": (sig, 1), "__t": ("ts_ms", 1)})
+    rows = in_ranges(df, [key], ["ts_ms", "id"], ranges)
+    rows = lag_in_blocks(rows, [key], ["ts_ms", "id"], BLOCK, {"__sig": (sig, 1), "__t": ("ts_ms", 1)})
     changed = F.col("__t").isNull() | ~F.col(sig).eqNullSafe(F.col("__sig"))
-    return rows.filter(changed).drop("__sig", "__t", "__block")
+    return rows.filter(changed).drop("__sig", "__t", BLOCK)

@@ -419,7 +419,7 @@ SELECT * FROM b UNION ALL SELECT * FROM a""",
 def d7(spark, sf):
     n = v.nodes(spark, sf)
     pivots = n.filter("importance >= 8").select("thread_id", F.col("id").alias("pivot_id"), "ts_ms")
-    return joins.nearest_k(pivots, n, block_ms=DAY_MS).select("pivot_id", "side", "id")
+    return joins.nearest_k(pivots, n).select("pivot_id", "side", "id")
 
 
 @query(

@@ -44,7 +44,7 @@ def f2(spark, sf):
 SELECT thread_id, id, CAST(sum(CASE WHEN d IS NULL OR d > 21600000 THEN 1 ELSE 0 END) OVER (PARTITION BY thread_id ORDER BY ts_ms, id) AS BIGINT) AS session FROM d""",
 )
 def f2s(spark, sf):
-    return ranking.gap_sessions(v.nodes(spark, sf), "thread_id", 6 * HOUR, DAY_MS).select("thread_id", "id", "session")
+    return ranking.gap_sessions(v.nodes(spark, sf), "thread_id", 6 * HOUR).select("thread_id", "id", "session")
 
 
 @query(
@@ -140,7 +140,7 @@ r AS (SELECT id, lane, row_number() OVER (PARTITION BY lane ORDER BY CASE WHEN l
 SELECT id, lane, CASE WHEN lane = 'realtime' THEN r // 3 * 4 + r % 3 ELSE r * 4 + 3 END AS slot FROM r""",
 )
 def f7(spark, sf):
-    return ranking.lane_order(v.work(spark, sf), WORK_NOW, block_ms=30 * DAY_MS).select("id", "lane", "slot")
+    return ranking.lane_order(v.work(spark, sf), WORK_NOW).select("id", "lane", "slot")
 
 
 @query(
@@ -194,7 +194,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY capability, island ORDER BY ts_m
 SELECT capability, id, window_rows, round(rate, 9) AS failure_rate, CASE WHEN bad = 1 THEN run ELSE 0 END AS failure_run, CASE WHEN bad = 0 THEN run ELSE 0 END AS success_run FROM n""",
 )
 def f14(spark, sf):
-    out = ranking.trailing_failure_rate(v.usage(spark, sf), "capability", min_rows=3_000)
+    out = ranking.trailing_failure_rate(v.usage(spark, sf), "capability")
     return out.drop("ts_ms").withColumn("failure_rate", F.round("failure_rate", 9))
 
 
@@ -206,7 +206,7 @@ SELECT thread_id, id, round(greatest(0.0, least(100.0, CASE WHEN dt > 0 THEN dc
 )
 def f15(spark, sf):
     rows = v.nodes(spark, sf).filter("thread_id IS NOT NULL").select("thread_id", "id", "ts_ms", (F.col("k") * 3_000_000).alias("c"))
-    return ranking.counter_rate(rows, "thread_id", "c", DAY_MS).select("thread_id", "id", F.round("rate", 6).alias("rate"))
+    return ranking.counter_rate(rows, "thread_id", "c").select("thread_id", "id", F.round("rate", 6).alias("rate"))
 
 
 @query(

@@ -155,7 +155,7 @@ s AS (SELECT *, sum(CASE WHEN d IS NULL OR d > 21600000 THEN 1 ELSE 0 END) OVER
 SELECT thread_id, min(ts_ms) AS start_ms, max(ts_ms) AS last_ms, count(*) AS n FROM s GROUP BY thread_id, session""",
 )
 def i8(spark, sf):
-    return lifecycle.sessions(v.nodes(spark, sf), "thread_id", 6 * HOUR, DAY_MS)
+    return lifecycle.sessions(v.nodes(spark, sf), "thread_id", 6 * HOUR)
 
 
 OUTCOME = "CASE WHEN id % 5 < 4 THEN id % 3 = 0 END"
@@ -433,4 +433,4 @@ g AS (SELECT source_key, max(ts_ms) AS last_seen_ms, count(*) AS captures FROM s
 SELECT * FROM g WHERE last_seen_ms < 1706600000000 - 21600000""",
 )
 def i23(spark, sf):
-    return lifecycle.evict_idle(v.captures(spark, sf), 1_706_600_000_000, 6 * HOUR, DAY_MS)
+    return lifecycle.evict_idle(v.captures(spark, sf), 1_706_600_000_000, 6 * HOUR)
