@@ -22,8 +22,8 @@ from worktrail.llm.words import ALNUM, Words, mix, words
 
 # Labelled rows that the lexicon and the model are learned from, at most: those of the least hashes of their ids.
 FIT_ROWS = 20_000
-# Entries of the lexicon at most, those with most support.
-LEXICON_ROWS = 2_000
+# Clean texts that may hold a word one error away from a four-letter term, for that error to be allowed: one in so many.
+RARE_IN_CLEAN = 1_000
 WINDOW = 8
 THRESHOLD = 0.3
 LEAST_LOG_ODDS = 3.0
@@ -34,7 +34,10 @@ REPORTING = ("said", "says", "say", "quote", "quoted", "quotes", "wrote", "write
 
 
 def tolerance(term: str, stem: bool) -> int:
-    """Errors that are allowed: none in short terms, two in long ones, one fewer in beginnings."""
+    """Errors that are allowed: none in short terms, two in long ones, one fewer in beginnings.
+
+    A word of four letters may be matched with one error where ``loose_terms`` finds that safe.
+    """
     n = len(term) - (2 if stem else 0)
     return 0 if n < 5 else 1 if n < 9 else 2
 
@@ -42,13 +45,14 @@ def tolerance(term: str, stem: bool) -> int:
 class Trie:
     """Terms, each a whole word or the beginning of one, with weights."""
 
-    def __init__(self, terms: Iterable[tuple[str, bool, float]]) -> None:
+    def __init__(self, terms: Iterable[tuple[str, bool, float]], loose: Iterable[str] = ()) -> None:
+        loose = frozenset(loose)
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[bool, int, float]]] = [[]]
         self.reach = [0]
         parts = set()
         for term, stem, weight in terms:
-            k, node = tolerance(term, stem), 0
+            k, node = 1 if term in loose and not stem else tolerance(term, stem), 0
             self.reach[0] = max(self.reach[0], k)
             for c in term:
                 if c not in self.children[node]:
@@ -124,6 +128,7 @@ class Model:
 
     terms: list[tuple[str, bool, float]]
     coefficients: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
+    loose: frozenset[str] = frozenset()
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.coefficients[0] + x @ self.coefficients[1:], -30, 30)))
@@ -134,8 +139,8 @@ class Matcher:
 
     KEPT = 2_000_000
 
-    def __init__(self, terms: list[tuple[str, bool, float]]) -> None:
-        self.trie = Trie(terms)
+    def __init__(self, terms: list[tuple[str, bool, float]], loose: Iterable[str] = ()) -> None:
+        self.trie = Trie(terms, loose)
         self.reporting = np.unique(words(pa.array(list(REPORTING)), ALNUM, lower=True).hash)
         self.hash, self.weight, self.wrong = np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.int8)
 
@@ -226,10 +231,35 @@ def _word_counts(sample: DataFrame) -> DataFrame:
     return counts.groupBy("word").agg(one(F.col("toxic"), F.col("texts")).alias("bad"), one(~F.col("toxic"), F.col("texts")).alias("clean"), one(F.col("toxic"), F.lit(1)).alias("contexts"))
 
 
+def _without_one(word: Column) -> Column:
+    """The word and what is left of it without one of its characters: words one error apart share one of these."""
+    left = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.array_distinct(F.concat(F.array(word), left))
+
+
+def loose_terms(counts: DataFrame, terms: list[tuple[str, bool, float]], n_clean: int) -> frozenset[str]:
+    """Four-letter words of the lexicon whose neighbours, one error away, hardly occur in clean texts of the sample.
+
+    All neighbours together may stand in one of ``RARE_IN_CLEAN`` clean texts.  ``counts(word, clean)``.
+    """
+    short = [(w,) for w, stem, _ in terms if len(w) == 4 and not stem]
+    if not short:
+        return frozenset()
+    asked = counts.sparkSession.createDataFrame(short, "term string")
+    asked = asked.select("term", F.explode(_without_one(F.col("term"))).alias("part"))
+    known = counts.where((F.col("clean") > 0) & F.length("word").between(3, 5))
+    near = known.select("word", "clean", F.explode(_without_one(F.col("word"))).alias("part")).join(F.broadcast(asked), "part")
+    near = near.where(F.levenshtein("word", "term") == 1).select("term", "word", "clean").distinct()
+    common = near.groupBy("term").agg(F.sum("clean").alias("clean")).where(F.col("clean") * RARE_IN_CLEAN > n_clean)
+    return frozenset(w for (w,) in short) - {r["term"] for r in common.collect()}  # at most one row per term
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """Lexicon and model from the labelled texts, of which ``fit_rows`` at most are used (least hash of the id).
 
-    Without a toxic text among them, all scores are alike and below 0.3.
+    Without a toxic text among them, all scores are alike and below 0.3.  An entry of the lexicon stands in at
+    least one of 200 toxic texts of the sample, which bounds the lexicon; it has no other limit.  Beginnings have
+    three to ten letters.
     """
     rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
@@ -245,18 +275,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     least = max(3, n_toxic // 200)
     # Copies of one toxic text repeat its other words in the same contexts; a term stands in many.
     supported = (F.col("bad") >= least) & (2 * F.col("contexts") >= F.col("bad")) & (F.col("contexts") >= least)
-    good = lambda df: df.where(supported & (odds >= LEAST_LOG_ODDS)).withColumn("odds", odds).orderBy(F.col("bad").desc(), "word").limit(LEXICON_ROWS).collect()
-    counts = counts.where(F.length("word") >= 3)
-    whole = good(counts)
+    good = lambda df: df.where(supported & (odds >= LEAST_LOG_ODDS)).withColumn("odds", odds).orderBy(F.col("bad").desc(), "word").collect()
+    whole = good(counts.where(F.length("word") >= 3))
     lengths = F.sequence(F.lit(3), F.least(F.length("word"), F.lit(10)))
-    cut = counts.select(F.explode(F.transform(lengths, lambda n: F.substring("word", F.lit(1), n))).alias("stem"), "bad", "clean", "contexts")
+    cut = counts.where(F.length("word") >= 3).select(F.explode(F.transform(lengths, lambda n: F.substring("word", F.lit(1), n))).alias("stem"), "bad", "clean", "contexts")
     cut = cut.groupBy(F.col("stem").alias("word")).agg(*[F.sum(c).alias(c) for c in ("bad", "clean", "contexts")], F.count(F.when(F.col("bad") > 0, 1)).alias("kinds"))
     stems = good(cut.where("kinds >= 4 and 4 * clean <= bad"))
     terms = _lexicon([(r["word"], r["bad"], r["odds"]) for r in whole], {r["word"]: (r["bad"], r["odds"]) for r in stems})
-    model = Model(terms)
+    loose = loose_terms(counts, terms, n_clean)
+    model = Model(terms, loose=loose)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms)
+        matcher = Matcher(terms, loose)
         for batch in batches:
             x = matcher.features(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
@@ -290,11 +320,11 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     A null or empty text has no matches and scores as such; repeated rows stay; a column ``score`` of the
     input is renamed ``score_``.
     """
-    terms = model.terms
+    terms, loose = model.terms, model.loose
     docs = docs.withColumnsRenamed({"score": "score_"} if "score" in docs.columns else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms)
+        matcher = Matcher(terms, loose)
         for batch in batches:
             score = model.score(matcher.features(batch.column(batch.schema.get_field_index(text_col))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
