@@ -8,7 +8,8 @@ from worktrail.operators.search import build_index
 from worktrail.plans import views as v
 from worktrail.plans.queries_ranking import SUMMARIES_SQL, summaries
 from worktrail.plans.registry import query
-from worktrail.session import cut
+from worktrail.session import cut, shared_folder
+from worktrail.sources import versions
 
 HOUR = 3_600_000
 NOW = 1_705_363_200_000
@@ -259,6 +260,29 @@ def a7(spark, sf):
     return sets.insert_missing(customers(spark, sf), part_rows(spark, sf).filter("id % 2 = 0"), ["id"])
 
 
+def kept(spark, rows, keys, changes, merge):
+    """The rows as a table on disk, changed by key and read back."""
+    path = shared_folder(spark, "table")
+    versions.create(rows, path, keys)
+    versions.change(spark, path, changes, merge)
+    return versions.read(spark, path)
+
+
+@query(
+    "a6_upsert_table",
+    f"WITH {PAIR_SQL}\nSELECT id, coalesce(a.name, b.name) AS name, CASE WHEN b.id IS NOT NULL THEN b.amount ELSE a.amount END AS amount FROM a FULL JOIN b USING (id)",
+)
+def a6_table(spark, sf):
+    merge = lambda old, new: sets.upsert(old, new, ["id"], ["amount"])
+    return kept(spark, customers(spark, sf), ["id"], part_rows(spark, sf).filter("id % 2 = 0"), merge)
+
+
+@query("a7_insert_table", f"WITH {PAIR_SQL}\nSELECT * FROM a UNION ALL SELECT * FROM b WHERE id NOT IN (SELECT id FROM a)")
+def a7_table(spark, sf):
+    merge = lambda old, new: sets.insert_missing(old, new, ["id"])
+    return kept(spark, customers(spark, sf), ["id"], part_rows(spark, sf).filter("id % 2 = 0"), merge)
+
+
 @query(
     "d14_diff_by_hash",
     """WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0),
@@ -305,6 +329,16 @@ def i17(spark, sf):
     return sets.assign_once(n.select("id", "thread_id"), a)
 
 
+@query(
+    "i17_assign_table",
+    v.cte("nodes") + "SELECT id, coalesce(thread_id, CASE WHEN id % 3 <> 0 THEN 't' || (k % 50) END) AS thread_id FROM nodes",
+)
+def i17_table(spark, sf):
+    n = v.nodes(spark, sf)
+    a = n.filter("id % 3 <> 0").select("id", F.concat(F.lit("t"), (F.col("k") % 50).cast("string")).alias("new_thread_id"))
+    return kept(spark, n.select("id", "thread_id"), ["id"], a, lambda old, new: sets.assign_once(old, new).drop("mismatch"))
+
+
 @query(
     "i18_apply_assignments",
     """WITH li AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s, min(epoch_us(l_shipdate) // 1000) AS t FROM lineitem GROUP BY 1, 2),
